@@ -5,11 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import encode, leaks
+from quillon.llm import canon, encode, leaks
 from quillon.session import table
 
 
+def p7_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed value with its entry and score."""
+    labels = table(spark, sf_dir, "flat_labels")
+    histology = canon.map_values(
+        labels, "line_no", "histology_name", table(spark, sf_dir, "histology_ref"), ["histology_name", "short_form"], canon.histology_forms
+    )
+    stage = canon.map_values(labels, "line_no", "stage_group", table(spark, sf_dir, "stage_ref"), ["stage_group"], canon.stage_forms, threshold=0.99)
+    return histology.withColumn("field", F.lit("histology_name")).unionByName(stage.withColumn("field", F.lit("stage_group")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_mapped(spark, sf_dir).select(F.col("id").alias("line_no"), "field", "ref_code")
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the values that no entry fits, and how often each was typed."""
+    return p7_mapped(spark, sf_dir).where(F.col("ref_code") == canon.UNMATCHED).groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
@@ -18,7 +38,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_eval"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
 
