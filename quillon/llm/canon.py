@@ -151,7 +151,7 @@ class Index:
 
 def map_values(
     rows: DataFrame, id_col: str, value: str, entries: DataFrame, names: list[str], forms: Callable[[str], list[str]],
-    code: str = "ref_code", threshold: float = 0.62, margin: float = 0.03, limit: int = 16 << 20,
+    code: str = "ref_code", threshold: float = 0.66, margin: float = 0.03, limit: int = 16 << 20,
 ) -> DataFrame:
     """(id, value, ref_code, score) of every value that is neither null nor blank."""
     listed = entries.select(code, *names)
