@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import canon, encode, leaks
+from quillon.llm import canon, encode, leaks, reading
 from quillon.session import table
 
 
@@ -38,7 +38,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_eval"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {"p10_found": p10_found, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
 
