@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import canon, encode, leaks, reading
+from quillon.llm import canon, encode, endings, leaks, reading
 from quillon.session import table
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endings.judge(table(spark, sf_dir, "master_results"), "line_no", "model", "raw_output")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("cut").select(F.col("row_id").alias("line_no"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut rows per model."""
+    return _judged(spark, sf_dir).groupBy(F.col("source").alias("model")).agg(
+        F.count("*").alias("n"), F.count_if("cut").alias("cut_rows"), (F.count_if("cut") / F.count("*")).alias("share")
+    )
+
+
 def p7_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed value with its entry and score."""
     labels = table(spark, sf_dir, "flat_labels")
@@ -42,7 +57,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p10_found": p10_found, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p10_found": p10_found, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
 
