@@ -89,7 +89,11 @@ def raw_evidence(value: str) -> float:
     if bare.count("```") % 2:
         return OPEN
     rest = rest.strip("`").strip(" \t\r\n,;")
-    return _tail(rest) if rest else CLOSED
+    if not rest:
+        return CLOSED
+    odds = _tail(rest)
+    # A finished remark after a closed structure, or blank space after a full stop, is no place for a limit to fall.
+    return CLOSED if odds == DONE and (end or value[-1].isspace()) else odds
 
 
 def notes_in(value: str) -> list[str]:
