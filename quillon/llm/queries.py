@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import canon, encode, endings, leaks, reading
+from quillon.llm import canon, encode, endings, leaks, near, reading
 from quillon.session import table
 
 
@@ -26,6 +26,33 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tables of problem 4 by group number.
+RUN_TABLES = ("master_results", "train_split")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ("raw_output", "free_text")
+    parts = [
+        table(spark, sf_dir, name).select(F.lit(k).alias("grp"), "run_id", F.col(text).alias("text"))
+        for k, (name, text) in enumerate(zip(RUN_TABLES, texts))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _named() -> Column:
+    return F.element_at(F.array(*map(F.lit, RUN_TABLES)), F.col("grp") + 1).alias("tbl")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near.pairs_of_rows(_runs(spark, sf_dir), "run_id")
+    return pairs.select(_named(), F.col("id_a").alias("run_a"), F.col("id_b").alias("run_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run with the class of its text and the number of texts linked to it."""
+    return near.classes_of_rows(_runs(spark, sf_dir), ["run_id"]).select(_named(), "run_id", "class", "links")
+
+
 def p7_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed value with its entry and score."""
     labels = table(spark, sf_dir, "flat_labels")
@@ -57,7 +84,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p10_found": p10_found, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_classes": p4_classes, "p10_found": p10_found, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
 
