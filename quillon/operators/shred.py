@@ -91,7 +91,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(
         [(SEP.join(p), SEP.join(q), e[0], e[1], e[2], e[3], sorted(e[4])) for (p, q), e in seen.items()],
         columns=["path", "parent", "n", "arrays", "most", "recursive", "keys"],
-    )
+    ).astype({"keys": object})
 
 
 def schema_graph(df: DataFrame, doc: Column | str) -> DataFrame:
@@ -208,8 +208,8 @@ def shred(df: DataFrame, rec_id: str, doc: str, plan: Plan, with_fields: bool =
                         par.append(parent)
                         pos.append(list(at))
                         fields.append(values)
-            out = {"rec_id": pd.Series(ids, dtype="int64"), "relation": rel, "parent": par, "pos": pos}
-            yield pd.DataFrame(out | ({"fields": fields} if with_fields else {}))
+            out = {"relation": rel, "parent": par, "pos": pos} | ({"fields": fields} if with_fields else {})
+            yield pd.DataFrame({"rec_id": pd.Series(ids, dtype="int64")} | {k: pd.Series(v, dtype=object) for k, v in out.items()})
 
     kind = "rec_id long, relation string, parent string, pos array<int>" + ", fields map<string,string>" * with_fields
     rows = df.where(F.col(rec_id).isNotNull() & F.col(doc).isNotNull())

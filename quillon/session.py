@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Adaptive execution re-plans joins and skewed partitions at run time; small Arrow batches bound the
 #: memory of Python workers whatever the length of the texts.
@@ -53,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, used before every broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether the rows of `df` take at most `limit` bytes, measured by one aggregate over them (eight bytes for anything
+    but text); asked before data are sent to every worker. Inputs that the planner knows to be far larger are not read."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if 50 * limit < known < 1 << 60:
+        return False
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if kind == "string" else F.lit(0)) + 8 for c, kind in df.dtypes)
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
