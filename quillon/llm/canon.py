@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import input_bytes
+from quillon.session import fits
 
 UNMATCHED = "UNMATCHED"
 
@@ -155,7 +155,7 @@ def map_values(
 ) -> DataFrame:
     """(id, value, ref_code, score) of every value that is neither null nor blank."""
     listed = entries.select(code, *names)
-    if input_bytes(listed) > limit:
+    if not fits(listed, limit):
         raise ValueError(f"the reference list is over {limit} bytes; split it into lists by field or first letter")
     index = Index([(r[0], list(r[1:])) for r in listed.collect()], forms)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.words import Words, letters_and_digits
-from quillon.session import input_bytes
+from quillon.session import fits
 
 LEAST, K = 12, 8
 OUT = "doc_id long, item_id long"
@@ -103,7 +103,7 @@ def find(
     w = least - k + 1
     left = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     right = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    if input_bytes(right) <= limit:
+    if fits(right, limit):
         rows = right.collect()
         sent = docs.sparkSession.sparkContext.broadcast(_Items([r[0] for r in rows], [r[1] for r in rows], k, w))
 
