@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import canon, encode, endings, leaks, near, pages, reading
+from quillon.llm import canon, encode, endings, leaks, near, pages, pii, reading
 from quillon.session import table
 
 
@@ -53,6 +53,15 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes_of_rows(_runs(spark, sf_dir), ["run_id"]).select(_named(), "run_id", "class", "links")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "tcga_lung_gold"), "gold_id", "free_text").select(F.col("row_id").alias("gold_id"), "kind", "start_at")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report with typed placeholders in place of personal data."""
+    return pii.redact(table(spark, sf_dir, "tcga_lung_gold"), "gold_id", "free_text").withColumnRenamed("row_id", "gold_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.find(table(spark, sf_dir, "tcga_lung_gold"), "gold_id", "free_text").withColumnRenamed("row_id", "gold_id")
 
@@ -93,7 +102,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_classes": p4_classes, "p10_found": p10_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_classes": p4_classes, "p10_found": p10_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
 
