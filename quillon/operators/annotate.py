@@ -18,7 +18,7 @@ HITS = "row_id long, concept_id string, label string, matched_text string, start
 
 
 def annotate(df: DataFrame, row_id: str, text: str, lexicon: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """One row per hit. Null and blank texts have none; equal terms of several concepts give a hit each."""
+    """One row per hit. Null and blank texts have none, rows without an id are left out; equal terms of several concepts give a hit each."""
     entries = lexicon.select("concept_id", "label", "term").where(F.col("term").rlike(r"\D") & F.col("term").rlike(r"\S"))
     if not fits(entries, limit):
         raise ValueError(f"the lexicon is over {limit} bytes; split it and union the hits")
@@ -52,7 +52,7 @@ def annotate(df: DataFrame, row_id: str, text: str, lexicon: DataFrame, limit: i
                         out += [(key, c, label, body[first:stop], first, stop) for c, label in sent.value[term]]
             yield pd.DataFrame(out, columns=["row_id", "concept_id", "label", "matched_text", "start_at", "end_at"])
 
-    return df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text")).mapInPandas(run, HITS)
+    return df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null").mapInPandas(run, HITS)
 
 
 def first_location(hits: DataFrame) -> DataFrame:

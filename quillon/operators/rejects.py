@@ -12,7 +12,8 @@ Each record is one row of the input. On the workers every batch goes through two
    `yes` as a boolean, dates with a space) are read as text and held against the exact patterns afterwards.
 
 Reasons, the first that applies: `quoting`, `column_count`, `bad_value`. Null and white-space records are neither
-valid nor damaged and give no row. A trailing CR belongs to the record end. Equal records each get their row.
+valid nor damaged and give no row. A trailing CR belongs to the record end. Equal records each get their row, as do
+records without an id. Extra columns are ignored; an empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ _HIDE_TABLE = str.maketrans(_HIDE)
 _SHOW_TABLE = str.maketrans({v: k for k, v in _HIDE.items()})
 
 OUT = (
-    "line_id long, reason string, detail string, run_id string, timestamp timestamp, layer string, model string, prompt_type string, "
+    "line_id string, reason string, detail string, run_id string, timestamp timestamp, layer string, model string, prompt_type string, "
     "parsed_json_valid boolean, validation_errors array<string>, raw_output string"
 )
 
@@ -135,4 +136,6 @@ def _load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def load_records(df: DataFrame, line_id: str = "line_id", line: str = "line") -> DataFrame:
     """Every record that is not blank: typed columns where `reason` is null, the reason otherwise; `detail` names
     the reader's error or the offending field. No shuffle: the work is per record."""
-    return df.select(F.col(line_id).cast("long").alias("line_id"), F.col(line).alias("line")).mapInPandas(_load, OUT)
+    # Ids travel as text: a null among them would turn a column of longs into floats on the way.
+    rows = df.select(F.col(line_id).cast("string").alias("line_id"), F.col(line).alias("line")).mapInPandas(_load, OUT)
+    return rows.withColumn("line_id", F.col("line_id").cast("long"))

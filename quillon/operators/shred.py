@@ -8,7 +8,7 @@
 3. `shred` walks every record once more along that plan and emits one row per object of a table, with its
    position under each repeated ancestor (the foreign key: a child's positions extend its parent's).
 
-Defined results: a null, blank or unparsable record gives no row, as does a record that is no object. A lone object
+Defined results: a null, blank or unparsable record gives no row, as does a record that is no object or has no id. A lone object
 where an array is expected is its element 0. Text that itself holds an array or object counts as what it holds.
 Elements that are not objects keep their position and give no row. Keys may clash with column names of the
 input: they live in the map `fields`, never beside the input's columns. Equal records give equal rows under
