@@ -13,7 +13,7 @@ Two kinds of evidence are combined for each value:
 A row is a case when the posterior of its raw value, or of a note text inside it, is above one half.
 
 Defined results: null, empty and blank values, bare JSON literals, and whole values followed by remarks or blank space
-are no cases; malformed but closed structures are no cases; equal values get equal answers; a source with few rows has
+are no cases; rows without an id give no row; malformed but closed structures are no cases; equal values get equal answers; a source with few rows has
 no limits of its own and is judged by endings.
 """
 
@@ -152,7 +152,7 @@ def judge(df: DataFrame, row_id: str, source: str, value: str, max_sent: int = 1
     """Per value of the input: row_id, source, cut (boolean) and posterior. Two passes over the values: one counts
     lengths, one judges; only histograms and limits are shuffled."""
     rows = df.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(value).alias("value"))
-    rows = rows.where(F.col("value").isNotNull())
+    rows = rows.where(F.col("value").isNotNull() & F.col("row_id").isNotNull())
 
     def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,7 +7,7 @@ joined; each hit is extended to both sides over the words themselves and kept at
 While the test side is below `limit` bytes it is sent to the workers whole and the corpus side is not shuffled at all;
 beyond it both sides' fingerprints are joined by shuffle and candidate pairs fetch their texts afterwards.
 
-Defined results: null, empty and short texts give no row; a repeated corpus row gives its own pairs under its id;
+Defined results: null, empty and short texts give no row, nor do rows without an id; a repeated corpus row gives its own pairs under its id;
 equal items are each reported; punctuation, case and spacing never matter; extra columns are ignored; an empty side
 gives an empty result.
 """
@@ -101,8 +101,8 @@ def find(
 ) -> DataFrame:
     """Every (doc_id, item_id) that share `least` or more consecutive words."""
     w = least - k + 1
-    left = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    right = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    left = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    right = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     if fits(right, limit):
         rows = right.collect()
         sent = docs.sparkSession.sparkContext.broadcast(_Items([r[0] for r in rows], [r[1] for r in rows], k, w))

@@ -7,7 +7,8 @@ and a span must have what its kind needs (digits, an @ or its written form, capi
 
 The weights are made by `pii_train` from generated, labelled text and stand beside this module.
 
-Defined results: null, empty and blank texts have no findings and are returned as they are; offsets count characters from
+Defined results: null, empty and blank texts have no findings and are returned as they are; rows without an id have no
+findings; offsets count characters from
 0; equal texts get equal findings; very long texts are run window by window and read whole; extra columns are ignored.
 """
 
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("name", "phone", "email", "id_number", "address")
 LABELS = 1 + 2 * len(KINDS)  # 0 outside, 2k + 1 first character, 2k + 2 further ones of kind k
@@ -229,21 +231,21 @@ def find(df: DataFrame, row_id: str, text: str, model: str | None = None) -> Dat
                 rows = [(i, kind, a, b) for i, spans in zip(part["row_id"], got) for a, b, kind in spans]
                 yield pd.DataFrame(rows, columns=["row_id", "kind", "start_at", "end_at"])
 
-    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
+    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text")).where(F.col("row_id").isNotNull() & F.col("text").rlike(r"\S"))
     return rows.mapInPandas(run, "row_id long, kind string, start_at int, end_at int")
 
 
 def redact(df: DataFrame, row_id: str, text: str, model: str | None = None) -> DataFrame:
     """(row_id, text) of every row, with typed placeholders in place of the findings."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tagger = Tagger.load(model)
         for batch in batches:
-            for part in _batches(batch):
-                texts = part["text"].tolist()
-                got = tagger.spans([t or "" for t in texts])
-                clean = [None if t is None else redacted(t, s) for t, s in zip(texts, got)]
-                yield pd.DataFrame({"row_id": part["row_id"], "text": clean})
+            clean: list = []
+            for at in range(0, len(batch), 500):
+                texts = batch.iloc[at : at + 500].tolist()
+                clean += [None if t is None else redacted(t, s) for t, s in zip(texts, tagger.spans([t or "" for t in texts]))]
+            yield pd.Series(clean, index=batch.index, dtype=object)
 
-    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "row_id long, text string")
+    return df.select(F.col(row_id).cast("long").alias("row_id"), run(F.col(text)).alias("text"))

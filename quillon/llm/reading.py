@@ -9,7 +9,7 @@
    sentences, ties going to the level with more letters.
 
 Defined results: null, empty, short (under `least` sentences), list-like and non-English texts are not graded and give no
-row; equal texts get equal bands; with no labels at all nothing is graded; extra columns are ignored. Texts are read
+row, nor do rows without an id; equal texts get equal bands; with no labels at all nothing is graded; extra columns are ignored. Texts are read
 whole.
 """
 
@@ -196,7 +196,7 @@ def grade(
 ) -> DataFrame:
     """(doc_id, band) of every gradable document."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = np.zeros(CELLS)
     for cell, n in rows.select("text").mapInPandas(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[cell] = n
