@@ -104,7 +104,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_classes": p4_classes, "p10_found": p10_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
-ORACLES: dict[str, str] = {}
+_SQL_GRAMS = r"select distinct {id}, array_to_string(w[i:i+11],' ') g from (select {id}, w, unnest(range(1, len(w)-10)) i from (select {id}, regexp_extract_all(lower({text}),'[\p{{L}}\p{{N}}]+') w from {table}) where len(w)>=12)"
+ORACLES: dict[str, str] = {
+    "p9_found": f"with d as ({_SQL_GRAMS.format(id='doc_id', text='text', table='documents')}), t as ({_SQL_GRAMS.format(id='item_id', text='free_text', table='heldout_eval')}) select distinct doc_id, item_id from d join t using (g)",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
