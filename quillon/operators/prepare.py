@@ -10,9 +10,10 @@ from quillon.operators.split import first_per_key
 
 
 def label_table(t: DataFrame, n: DataFrame, m: DataFrame, key: str = "case_submitter_id") -> DataFrame:
-    """T left-joined to N and M, one row per case. Duplicate label rows are reduced first, so they cannot multiply."""
+    """T left-joined to N and M, one row per case. Duplicate label rows are reduced first (the smallest
+    label that is given), so they cannot multiply."""
     one = lambda df, c: df.groupBy(key).agg(F.min(c).alias(c))
-    first = first_per_key(t.select(key, "project_id", "ajcc_pathologic_t"), [key], ["ajcc_pathologic_t", "project_id"])
+    first = t.groupBy(key).agg(F.min("project_id").alias("project_id"), F.min("ajcc_pathologic_t").alias("ajcc_pathologic_t"))
     return first.join(one(n, "ajcc_pathologic_n"), key, "left").join(one(m, "ajcc_pathologic_m"), key, "left")
 
 
