@@ -6,6 +6,7 @@ prefix sums of a polynomial modulo 2**64, so no Python object is made per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,29 +36,70 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Characters hashed at a time; arrays of eight bytes a character are only ever this long.
+CHUNK = 1 << 20
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    out = []
+    for factor in (_BASE, _INVERSE):
+        p = np.full(n + 1, factor, dtype=np.uint64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        out.append(p)
+    return out[0], out[1]
+
+
+def _chunks(texts: list[str], kind: np.ndarray) -> Iterator[list[tuple[int, str]]]:
+    """Pieces (text number, piece) in groups of about CHUNK characters; long texts are cut outside words."""
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            stop = min(len(text), at + CHUNK)
+            while stop < len(text) and kind[ord(text[stop])] and kind[ord(text[stop - 1])]:
+                stop += 1
+            group.append((k, text[at:stop]))
+            size += stop - at
+            at = stop
+            if size >= CHUNK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _hash(pieces: list[str], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the pieces, and how many each piece has."""
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    codes = np.frombuffer("\n".join(pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = np.zeros(len(codes) + 2, dtype=np.int8)
+    inside[1:-1] = kind[codes]
+    step = np.diff(inside)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    length = 1 << max(16, int(len(codes)).bit_length())
+    powers, back = _powers(length)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], out=sums[1:])
+    begins = np.zeros(len(pieces) + 1, dtype=np.int64)
+    np.cumsum(sizes + 1, out=begins[1:])
+    return mix((sums[end] - sums[start]) * back[start]), np.diff(np.searchsorted(start, begins))
+
+
 class Words:
     """`hashes` of all words in text order, `first` the first word of each text (with a last entry for the end)."""
 
     def __init__(self, texts: list[str], kind: np.ndarray):
         lowered = [t.lower() for t in texts]
-        sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
-        codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        inside = np.zeros(len(codes) + 2, dtype=np.int8)
-        inside[1:-1] = kind[codes]
-        step = np.diff(inside)
-        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        powers = np.full(len(codes) + 1, _BASE, dtype=np.uint64)
-        powers[:1] = 1
-        np.multiply.accumulate(powers, out=powers)
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        back = np.full(len(codes) + 1, _INVERSE, dtype=np.uint64)
-        back[:1] = 1
-        np.multiply.accumulate(back, out=back)
-        self.hashes = mix((sums[end] - sums[start]) * back[start])
-        begins = np.zeros(len(texts) + 1, dtype=np.int64)
-        np.cumsum(sizes + 1, out=begins[1:])
-        self.first = np.searchsorted(start, begins)
+        hashes, counts = [np.zeros(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64)
+        for group in _chunks(lowered, kind):
+            found, each = _hash([piece for _, piece in group], kind)
+            hashes.append(found)
+            np.add.at(counts, [k for k, _ in group], each)
+        self.hashes = np.concatenate(hashes)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all sequences of k words that stay within one text, and the text each belongs to."""
