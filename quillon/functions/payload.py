@@ -112,3 +112,106 @@ def has_first_note(v: Column) -> Column:
 
 def first_note(v: Column, path: str) -> Column:
     return get(v, f"$.notes[0].{path}")
+
+
+def _strict(text) -> str | None:
+    try:
+        return json.dumps(_finite(json.loads(text)), ensure_ascii=False) if isinstance(text, str) else None
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def strict_json(text: pd.Series) -> pd.Series:
+    """Canonical JSON of a text that is JSON as a whole; null otherwise."""
+    return text.map(_strict)
+
+
+def label_or(note: Column, path: str, missing: str = "Unknown") -> Column:
+    """Upper-case text at a path: a missing key gives the default, an explicit null reads NONE."""
+    raw = F.try_variant_get(note, path, "variant")
+    text = F.upper(F.coalesce(F.try_variant_get(note, path, "string"), F.lit("")))
+    return F.when(raw.isNull(), F.lit(missing.upper())).when(F.is_variant_null(raw), F.lit("NONE")).otherwise(text)
+
+
+def _items(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _words(v: Column, *paths: str) -> Column:
+    """The given values of an object in one line; null and blank ones are left out."""
+    parts = F.array(*[F.regexp_replace(F.try_variant_get(v, p, "string"), r"^\s+|\s+$", "") for p in paths])
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")
+
+
+def _lines(parts: Column) -> Column:
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n")
+
+
+def _item_line(lead: Column, columns: tuple[str, ...]):
+    """Makes the line of a list element behind `lead`; elements that are no objects have none."""
+
+    def line(x: Column) -> Column:
+        both = F.filter(F.array(lead, _words(x, *columns)), lambda w: w != "")
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.array_join(both, " "))
+
+    return line
+
+
+#: Sections of a note in the order of its text: single lines, and lists with their columns.
+NOTE_SECTIONS = (
+    (None, ("$.staging.prefix", "$.staging.T", "$.staging.N", "$.staging.M", "$.staging.stage_group")),
+    (None, ("$.histology.name", "$.histology.icdo3", "$.histology.snomed")),
+    ("$.molecular.drivers", ("$.gene", "$.result", "$.variant", "$.snomed_qualifier")),
+    ("$.imaging", ("$.modality", "$.finding", "$.snomed")),
+    ("$.treatment.modalities", ("$.type", "$.snomed")),
+    ("$.equity.factors", ("$.issue", "$.snomed")),
+    (None, ("$.demographics.age", "$.demographics.sex", "$.demographics['race/ethnicity']")),
+)
+
+
+def note_text(v: Column) -> Column:
+    """All notes of a payload as lines of text for coding; empty without a list of notes."""
+
+    def of(note: Column) -> Column:
+        parts = []
+        for path, columns in NOTE_SECTIONS:
+            if path is None:
+                parts.append(F.array(_words(note, *columns)))
+                continue
+            lead = _words(note, "$.treatment.intent") if "treatment" in path else F.lit("")
+            parts.append(F.transform(_items(note, path), _item_line(lead, columns)))
+        raw = F.try_variant_get(note, "$.free_text", "variant")
+        text = F.when(F.schema_of_variant(raw) == "STRING", F.regexp_replace(F.try_variant_get(note, "$.free_text", "string"), r"^\s+|\s+$", ""))
+        return F.concat(*parts, F.array(text))
+
+    notes = F.filter(_items(v, "$.notes"), lambda n: F.schema_of_variant(n).startswith("OBJECT"))
+    return _lines(F.flatten(F.transform(notes, of)))
+
+
+def timeline_text(v: Column) -> Column:
+    """A timeline payload as lines of text for coding: the seed case's sections, then each visit with its therapies, cycles,
+    events and labs. A missing value is empty, an explicit null reads None."""
+
+    def value(x: Column, path: str) -> Column:
+        raw = F.try_variant_get(x, path, "variant")
+        return F.when(raw.isNull(), F.lit("")).when(F.is_variant_null(raw), F.lit("None")).otherwise(F.coalesce(F.try_variant_get(x, path, "string"), F.lit("")))
+
+    def row(x: Column, *paths: str) -> Column:
+        return F.concat_ws(" ", *[F.concat(F.lit(p[0]), value(x, p[1])) if isinstance(p, tuple) else value(x, p) for p in paths])
+
+    def objects(x: Column, path: str) -> Column:
+        return F.filter(_items(x, path), lambda y: F.schema_of_variant(y).startswith("OBJECT"))
+
+    def visit(x: Column) -> Column:
+        therapies = F.flatten(F.transform(objects(x, "$.therapies"), lambda t: F.concat(
+            F.array(row(t, "$.type", "$.regimen", "$.intent", ("line:", "$.line"))), F.transform(objects(t, "$.cycles"), lambda c: row(c, ("cycle ", "$.cycle"), "$.date", "$.dose_mod")),
+        )))
+        return F.concat(
+            F.array(row(x, "$.staging.T", "$.staging.N", "$.staging.M", "$.staging.stage_group"), row(x, "$.imaging.modality", "$.imaging.findings")), therapies,
+            F.transform(objects(x, "$.adverse_events"), lambda a: row(a, "$.name", ("grade ", "$.grade"), "$.action")),
+            F.transform(objects(x, "$.labs"), lambda b: row(b, "$.name", "$.value", "$.unit", "$.trend")), F.array(value(x, "$.assessment"), value(x, "$.plan")),
+        )
+
+    seed = F.array(*[F.to_json(F.try_variant_get(v, f"$.seed_case.{k}", "variant")) for k in ("staging", "histology", "molecular", "demographics")])
+    return _lines(F.concat(seed, F.flatten(F.transform(objects(v, "$.timeline"), visit))))

@@ -735,6 +735,73 @@ def _(spark, sf):
     return table(spark, sf, "train_split").select("split_id", L.word_count(F.col("free_text")).alias("words"))
 
 
+def _sql_line(x: str, *paths: str) -> str:
+    parts = ", ".join(rf"regexp_replace(json_extract_string({x},'{p.replace("'", "").replace("[race/ethnicity]", '."race/ethnicity"')}'),'^\s+|\s+$','','g')" for p in paths)
+    return f"array_to_string(list_filter([{parts}], lambda w: w is not null and w<>''),' ')"
+
+
+def _sql_sections() -> str:
+    out = []
+    for path, columns in P.NOTE_SECTIONS:
+        if path is None:
+            out.append(f"[{_sql_line('o', *columns)}]")
+        else:
+            lead = _sql_line("o", "$.treatment.intent") if "treatment" in path else "''"
+            items = f"case when json_type(o,'{path}')='ARRAY' then json_extract(o,'{path}[*]') else [] end"
+            out.append(f"list_transform({items}, lambda x: case when json_type(x)='OBJECT' then array_to_string(list_filter([{lead}, {_sql_line('x', *columns)}], lambda w: w<>''),' ') end)")
+    out.append(r"[case when json_type(o,'$.free_text')='VARCHAR' then regexp_replace(json_extract_string(o,'$.free_text'),'^\s+|\s+$','','g') end]")
+    return " || ".join(out)
+
+
+@query(
+    "note_text",
+    f"""with n as (select line_no, unnest(json_extract(parsed_json,'$.notes[*]')) o, generate_subscripts(json_extract(parsed_json,'$.notes[*]'),1) k from master_results where json_type(parsed_json,'$.notes')='ARRAY'),
+ t as (select line_no, k, {_sql_sections()} l from n where json_type(o)='OBJECT'), g as (select line_no, flatten(list(l order by k)) l from t group by line_no)
+ select r.line_no, md5(coalesce(array_to_string(list_filter(l, lambda w: w is not null and w<>''),chr(10)),'')) text from master_results r left join g using (line_no)""",
+)
+def _(spark, sf):
+    """Payloads flattened to the text that is sent to an annotator."""
+    return _runs(spark, sf).select("line_no", F.md5(F.coalesce(P.note_text(P.variant(F.col("parsed_json"))), F.lit(""))).alias("text"))
+
+
+@query("timeline_text")
+def _(spark, sf):
+    return table(spark, sf, "timeline_results").select("timeline_id", P.timeline_text(P.variant(F.col("payload"))).alias("text"))
+
+
+def _sql_known(f: str) -> str:
+    at = f"$.notes[0].staging.{f}"
+    return f"(case when json_type(parsed_json,'{at}') is null then 'UNKNOWN' when json_type(parsed_json,'{at}')='NULL' then 'NONE' else upper(json_extract_string(parsed_json,'{at}')) end)"
+
+
+@query(
+    "gated_records",
+    f"""with {SQL_GATES} select r.line_no, {", ".join(f"{_sql_known(f)} {f.lower()}" for f in ("T", "N", "M", "stage_group"))}, length(coalesce(json_extract_string(parsed_json,'$.notes[0].free_text'),'')) chars,
+ round(100.0*coalesce(len(snomed_codes),0)/greatest({sql_words("raw_output")},1),6) density, schema_ok, ontology_ok, violations=0 logic_ok, schema_ok and ontology_ok and violations=0 passed, {_SQL_LEVEL} gate_label from master_results r join gate using (line_no)""",
+)
+def _(spark, sf):
+    """Records as they are stored after the gates: labels as given, density, gate flags and label."""
+    rows = _runs(spark, sf).select("line_no", "snomed_codes", "raw_output", P.variant(F.col("parsed_json")).alias("v"))
+    hits = F.coalesce(F.size("snomed_codes"), F.lit(0))
+    made = rows.select(
+        "line_no", *[P.label_or(F.col("v"), f"$.notes[0].staging.{f}").alias(f.lower()) for f in ("T", "N", "M", "stage_group")], F.length(F.coalesce(P.first_note(F.col("v"), "free_text"), F.lit(""))).cast("long").alias("chars"),
+        F.round(L.density(L.word_count(F.col("raw_output")), hits), 6).alias("density"), gates.schema_ok(F.col("v")).alias("schema_ok"), gates.ontology_ok(F.col("snomed_codes")).alias("ontology_ok"), (F.size(gates.violations(F.col("v"))) == 0).alias("logic_ok"),
+    )
+    return made.withColumn("passed", F.col("schema_ok") & F.col("ontology_ok") & F.col("logic_ok")).withColumn("gate_label", gates.level(F.col("schema_ok"), F.col("ontology_ok"), F.col("logic_ok")))
+
+
+@query(
+    "extraction_parse",
+    r"""with s as (select line_no, regexp_extract(coalesce(raw_output,''),'(?s)\{.*\}',0) j from master_results), w as (select line_no, j, json_valid(j) and not regexp_matches(j,',\s*[}\]]') ok from s), v as (select line_no, ok, case when ok then j end j from w)
+ select line_no, ok parsed, coalesce(upper(json_extract_string(j,'$.notes[0].staging.T')),'UNKNOWN') t_pred from v""",
+)
+def _(spark, sf):
+    """Predictions read from between the first and the last brace; what does not parse is unknown."""
+    rows = _runs(spark, sf).select("line_no", P.strict_json(P.braces_slice(F.coalesce("raw_output", F.lit("")))).alias("j"))
+    t = F.upper(P.first_note(P.variant(F.col("j")), "staging.T"))
+    return rows.select("line_no", F.col("j").isNotNull().alias("parsed"), F.coalesce(t, F.lit("UNKNOWN")).alias("t_pred"))
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------
 
 

@@ -104,3 +104,18 @@ def test_intervals(spark):
     assert one.select(low, high).first() == (None, None)
     low, high = one.select(stats.bootstrap_ci(F.lit(50.0), F.lit(100.0)).alias("c")).select("c.*").first()
     assert (low, high) == (0.4, 0.6)
+
+
+def test_timeline_text(spark):
+    payload = {"seed_case": {"staging": {"T": "T1"}}, "timeline": [{"staging": {"T": "T2", "N": None}, "imaging": {}, "therapies": [{"type": "chemo", "line": 1, "cycles": [{"cycle": 2, "date": "2021-01"}]}, None], "labs": [{"name": "CEA", "value": 1.5}], "plan": "wait"}, 7]}
+    rows = spark.createDataFrame([(json.dumps(payload),), (None,)], "x string").select(P.timeline_text(P.variant(F.col("x"))).alias("y")).collect()
+    assert rows[0].y.split("\n") == ['{"T":"T1"}', "T2 None  ", " ", "chemo   line:1", "cycle 2 2021-01 ", "CEA 1.5  ", "wait"] and not rows[1].y
+
+
+def test_config(monkeypatch):
+    from quillon.config import Config
+
+    monkeypatch.setenv("QUILLON_SEED", "7")
+    monkeypatch.setenv("QUILLON_KEEP_NONCORE", "Yes")
+    got = Config.load(sample_cap=5)
+    assert (got.seed, got.keep_noncore, got.sample_cap, got.heldout_share) == (7, True, 5, 0.2)
