@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Leading hex digits of the order hash that name a cell: 256 cells for tables of any size that fit 256 tasks' memory;
-#: raise it with the table.
-CELL_DIGITS = 2
+#: Leading hex digits of the order hash that name a cell: 4,096 cells, so a task ranks a four-thousandth of the table at a time.
+CELL_DIGITS = 3
 
 
 def order_hash(key: Column, seed: int) -> Column:

@@ -66,7 +66,7 @@ def p3_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p3_found": p3_found, "p3_drivers": p3_drivers}
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
-_SQL_RECORDS = f"""r as (select line_id, regexp_replace(line,'\r$','') rec from result_lines where regexp_matches(line,'\S')),
+_SQL_RECORDS = rf"""r as (select line_id, regexp_replace(line,'\r$','') rec from result_lines where regexp_matches(line,'\S')),
  q as (select line_id, rec, regexp_full_match(rec,'(?s){_FIELD}(?:,{_FIELD})*') ok from r),
  f as (select line_id, ok, case when ok then list_transform(regexp_extract_all(rec||',','(?s)({_FIELD}),',1), lambda x: case when starts_with(x,'"') then replace(substr(x,2,length(x)-2),'""','"') else x end) end v from q),
  c as (select line_id, case when not ok then 'quoting' when len(v)<>8 then 'column_count'
