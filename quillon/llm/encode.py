@@ -15,6 +15,7 @@ special tokens are ordinary text. One row per input row; equal rows give equal l
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -26,29 +27,32 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 LIMIT = 1 << 16
 OUT = "doc_id long, ids array<int>"
+# Fixed value: the public pattern that splits text before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
 @lru_cache
 def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
 
 
 @lru_cache
-def _lengths(path: str) -> dict[int, bytes]:
-    """The bytes behind each id (GPT-2's printable stand-ins are undone by their rule)."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    vocab = _tokenizer(path).get_vocab()
-    return {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
+def _bytes_of(path: str) -> dict[int, bytes]:
+    """The bytes behind each id."""
+    return {rank: token for token, rank in _ranks(path).items()}
 
 
 def encode_batch(texts: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    encode_one = _tokenizer(path).encode_ordinary
+    return [encode_one(t) for t in texts]
 
 
 def pieces(text: str, size: int) -> list[tuple[str, bool]]:
@@ -80,7 +84,7 @@ def join(left: list[int], right: list[int], path: str, start: int = 8) -> list[i
     """Ids of the concatenated text from the ids of its halves."""
     if not left or not right:
         return left + right
-    of, n = _lengths(path), start
+    of, n = _bytes_of(path), start
     while True:
         a, head = _edge(left, n, True, of)
         b, tail = _edge(right, n, False, of)
@@ -108,7 +112,7 @@ def _lists(rows: list[list[int]]) -> pa.ListArray:
 
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, limit: int = LIMIT) -> DataFrame:
     """(doc_id, ids) of every row."""
-    path = f"{folder}/{tokenizer}.json"
+    path = f"{folder}/{tokenizer}.tiktoken"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ from quillon.llm import canon, encode, endings, leaks, near, pages, pii, pii_tra
 from quillon.llm.words import Words, ascii_letters_and_digits, letters_and_digits
 from tests.conftest import DATA
 
-PATH = f"{encode.TOKENIZERS}/byte_bpe_50k.json"
+PATH = f"{encode.TOKENIZERS}/byte_bpe_50k.tiktoken"
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
 
 
@@ -195,6 +195,17 @@ def test_concatenation_equals_whole():
         assert encode.concatenate([(i, ok) for i, (_, ok) in zip(ids, cut)], PATH) == encode.encode_batch([text], PATH)[0]
 
 
+@needs_vocabulary
+def test_other_library_agrees():
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(PATH.replace(".tiktoken", ".json"))
+    other.encode_special_tokens = True
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 0xD7FF), rng.randrange(0x1F300, 0x1F900), 10, 32))) for _ in range(60)) for _ in range(400)]
+    assert encode.encode_batch(texts, PATH) == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+
+
 @needs_vocabulary
 def test_encode_rows(spark):
     texts = [None, "", "  ", "plain text <|endoftext|>", "ab" * 5000, "word " * 3000, "plain text <|endoftext|>"]
