@@ -121,6 +121,8 @@ class Index:
 
     def spell(self, word: str) -> str:
         if word not in self.spelt:
+            if len(self.spelt) > 1_000_000:
+                self.spelt = {w: w for w in self.vocabulary}
             most = 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
             near = sorted((edits(word, w, most), w) for w in self.vocabulary if len(w) >= 4) if most and word not in ASIDE else []
             self.spelt[word] = near[0][1] if near and near[0][0] <= most else word

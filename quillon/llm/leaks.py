@@ -51,14 +51,14 @@ def _rank(owner: np.ndarray) -> np.ndarray:
     return np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)])) if len(owner) else starts
 
 
-def shared_span(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """Length of the longest run of equal words through a[i] = b[j]."""
-    left = right = 0
-    while i - left > 0 and j - left > 0 and a[i - left - 1] == b[j - left - 1]:
-        left += 1
-    while i + right < len(a) and j + right < len(b) and a[i + right] == b[j + right]:
-        right += 1
-    return left + right
+def shared_span(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
+    """Start and end in `a` of the longest run of equal words through a[i] = b[j]."""
+    start, end = i, i
+    while start > 0 and j - (i - start) > 0 and a[start - 1] == b[j - (i - start) - 1]:
+        start -= 1
+    while end < len(a) and j + (end - i) < len(b) and a[end] == b[j + (end - i)]:
+        end += 1
+    return start, end
 
 
 class _Items:
@@ -80,17 +80,19 @@ class _Items:
         hit = low < len(self.prints)
         hit[hit] = self.prints[low[hit]] == prints[hit]
         docs = np.searchsorted(words.first, place[hit], side="right") - 1
-        seen, tried = set(), set()
+        seen: set[tuple] = set()
+        done: dict[tuple, int] = {}  # end of the last run looked at, by document, item and alignment; hits come in order
         for value, doc, p, first in zip(prints[hit], docs, place[hit], low[hit]):
             own = words.hashes[words.first[doc] : words.first[doc + 1]]
             i = int(p - words.first[doc])
             while first < len(self.prints) and self.prints[first] == value:
                 item, j = int(self.item[first]), int(self.at[first])
                 first += 1
-                if (doc, item) in seen or (doc, item, i - j, i // least) in tried:
+                if (doc, item) in seen or i < done.get((doc, item, i - j), 0):
                     continue
-                tried.add((doc, item, i - j, i // least))
-                if shared_span(own, i, self.words[item], j) >= least:
+                start, end = shared_span(own, i, self.words[item], j)
+                done[doc, item, i - j] = end
+                if end - start >= least:
                     seen.add((doc, item))
                     yield ids[doc], self.ids[item]
 

@@ -231,6 +231,10 @@ def test_leaks_against_brute_force(spark):
             n, at = rng.randint(8, 16), rng.randrange(20)
             words[len(words) // 2 : len(words) // 2] = own[at : at + n]
         docs.append((k, ", ".join(words).upper()))
+    for k in range(150, 700):  # two runs on one alignment, one word between them
+        own = items[rng.randrange(12)][1].split()
+        own[rng.randint(6, 14)] = "zz"
+        docs.append((k, " ".join(own[: rng.randint(14, 30)])))
     docs += [(900, None), (901, ""), (902, "a " * 13), (None, items[0][1]), (903, items[0][1]), (903, items[0][1])]
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda t: {tuple(split(t)[i : i + 12]) for i in range(len(split(t)) - 11)}
