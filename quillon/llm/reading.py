@@ -142,15 +142,17 @@ class Ordinal:
         return np.maximum(full[:, :-1] - full[:, 1:], 1e-12)
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 400, rate: float = 0.05) -> Ordinal:
-    """Maximum penalised likelihood by Adam; y in 0..BANDS-1."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, before: Ordinal | None = None, l2: float = 1e-3, rounds: int = 400, rate: float = 0.05) -> Ordinal:
+    """Maximum penalised likelihood by Adam; y in 0..BANDS-1. Goes on from `before`, fitted to the same x, if given."""
+    mean, scale = (before.mean, before.scale) if before else (x.mean(axis=0), x.std(axis=0) + 1e-9)
     z = (x - mean) / scale
     total = weight.sum()
     share = np.array([weight[y > k].sum() / total for k in range(BANDS - 1)]).clip(0.01, 0.99)
     p = np.concatenate([np.zeros(x.shape[1]), [-np.log(share[0] / (1 - share[0]))], np.full(BANDS - 2, 0.0)])
-    m, v = np.zeros_like(p), np.zeros_like(p)
     d = x.shape[1]
+    if before:
+        p = np.concatenate([before.w, before.cuts[:1], np.log(np.maximum(np.diff(before.cuts), 1e-6))])
+    m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
         steps = np.exp(p[d + 1 :])
         cuts = p[d] + np.concatenate([[0.0], np.cumsum(steps)])
@@ -172,15 +174,17 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, roun
     return Ordinal(mean, scale, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))]))
 
 
-def fit_sentences(docs: list[tuple[np.ndarray, np.ndarray]], bands: np.ndarray, rounds: int = 3) -> Ordinal:
-    """Sentence model from document grades; sentences unlike their document's grade lose weight round by round."""
+def fit_sentences(docs: list[tuple[np.ndarray, np.ndarray]], bands: np.ndarray, share: np.ndarray | None = None, rounds: int = 3) -> Ordinal:
+    """Sentence model from document grades, each with its share; sentences unlike their document's grade lose weight round
+    by round."""
     x = np.vstack([f for f, _ in docs])
     owner = np.repeat(np.arange(len(docs)), [len(f) for f, _ in docs])
     y = bands[owner] - 1
-    weight = np.ones(len(x))
+    given = np.ones(len(x)) if share is None else share[owner]
+    weight, model = given, None
     for k in range(rounds):
-        model = fit(x, y, weight)
-        weight = model.chances(x)[np.arange(len(x)), y] ** 2 + 1e-3
+        model = fit(x, y, weight, model, rounds=150 if model else 400)
+        weight = given * (model.chances(x)[np.arange(len(x)), y] ** 2 + 1e-3)
     return model
 
 
@@ -214,10 +218,9 @@ def grade(
 
     sample = graded.join(rows, "doc_id").select("band", "text").mapInPandas(features, "band double, x array<double>, letters array<double>").collect()
     parts = [(np.array(r["x"]).reshape(len(r["letters"]), -1), np.array(r["letters"])) for r in sample]
-    # A mean between two bands says that one grader was off; such documents are kept at the lower and the upper band.
-    low = np.array([int(math.floor(r["band"])) for r in sample], dtype=int)
-    high = np.array([int(math.ceil(r["band"])) for r in sample], dtype=int)
-    model = fit_sentences(parts + parts, np.concatenate([low, high])) if parts else None
+    # A mean between two bands says that one grader was off; such documents count half at the lower and half at the upper one.
+    grades = [(k, b, 1 / len(both)) for k, r in enumerate(sample) for both in [sorted({math.floor(r["band"]), math.ceil(r["band"])})] for b in both]
+    model = fit_sentences([parts[k] for k, _, _ in grades], np.array([b for _, b, _ in grades], dtype=int), np.array([w for _, _, w in grades])) if parts else None
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
