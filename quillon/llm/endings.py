@@ -41,6 +41,15 @@ _NOTE = re.compile(r'\\*"?free_text\\*+"?+\s*+:?+\s*+(?:\\"((?:(?!\\").|\\\\\\")
 OPEN, MARKED, MIDDLE, DONE, CLOSED = 12.0, 9.0, 8.0, -6.0, -20.0
 
 
+#: Characters at the end in which marks and full stops are looked for.
+_TAIL = 160
+
+
+def unmarked(text: str) -> str:
+    """The text without a cut mark at its end."""
+    return text[:-_TAIL] + _MARK.sub("", text[-_TAIL:])
+
+
 def open_at_end(text: str) -> tuple[bool, int]:
     """Whether a bracket or string is left open, and where the last closed structure ends (0: there is none)."""
     first = min((p for p in (text.find("{"), text.find("[")) if p >= 0), default=-1)
@@ -63,9 +72,8 @@ def open_at_end(text: str) -> tuple[bool, int]:
 
 def _tail(text: str) -> float:
     """Evidence in the last words of running text."""
-    if _END.search(text):
-        return DONE
-    return DONE if _STOP.search(text) else MIDDLE
+    last = text[-_TAIL:]
+    return DONE if _END.search(last) or _STOP.search(last) else MIDDLE
 
 
 def raw_evidence(value: str) -> float:
@@ -78,7 +86,7 @@ def raw_evidence(value: str) -> float:
         return CLOSED
     except (ValueError, RecursionError):
         pass
-    bare = _MARK.sub("", text)
+    bare = unmarked(text)
     marked = bare != text
     unclosed, end = open_at_end(bare)
     if unclosed:
@@ -112,7 +120,7 @@ def note_evidence(note: str) -> float:
     text = note.strip()
     if not text:
         return DONE
-    return MARKED if _MARK.search(text) else _tail(text)
+    return MARKED if unmarked(text) != text else _tail(text)
 
 
 def fit_limits(lengths: np.ndarray, counts: np.ndarray, least: int = 12, rounds: int = 40) -> dict[int, float]:

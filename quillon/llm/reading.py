@@ -30,7 +30,8 @@ CELLS = 1 << 18
 BANDS = 4
 LEAST = 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?!\s|$)[^.!?\n]*|\n(?!\s*\n|\s*[-*•]\s)[^.!?\n]*)*[.!?]+(?=\s|$)")
+#: Where one sentence ends and another may begin: after a mark, at an empty line, before a bullet.
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n(?=\s*\n)|\n(?=[ \t]*[-*•]\s)")
 
 # Function words that tell languages apart, and words that link or open clauses.
 ENGLISH = set("the of and to in is was with for on that are by at from be your you this when or an as which were it not have has will".split())
@@ -57,7 +58,7 @@ def _syllables(word: str) -> int:
 
 def sentences(text: str) -> list[str]:
     """Sentences of at least three words that end in a mark; headings, table lines and fragments are none."""
-    return [s for s in (m.group().strip(" \t\n-*•") for m in _SENTENCE.finditer(text)) if len(s.split()) >= 3]
+    return [s for s in (part.strip(" \t\r\n-*•") for part in _BREAK.split(text)) if s[-1:] in (".", "!", "?") and len(s.split()) >= 3]
 
 
 def is_english(words: list[str]) -> bool:

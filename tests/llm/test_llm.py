@@ -276,3 +276,19 @@ def test_reading_held_out(spark):
     got = reading.grade(docs, labels.where("doc_id % 3 <> 0")).join(test, "doc_id", "right")
     n, right = got.selectExpr("count(*)", "count_if(band = want)").first()
     assert n > 100 and right / n > 0.95
+
+
+# --- very long texts ------------------------------------------------------------------------------------------------
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    features = reading.Features(np.ones(reading.CELLS))
+    assert features.of("a: 1\n" * 200_000) is None and features.of("The ward is calm and the day is long. " * 5000)[0].shape[0] == 5000
+    assert endings.raw_evidence("x" + "\n" * 500_000 + "y") == endings.MIDDLE and endings.raw_evidence('{"a":"' + "b " * 500_000) == endings.OPEN
+    assert len(pages.features(["word " * 200_000, " " * 300_000 + "x"], lambda key: 0)) == 2
+    assert sum(map(len, (p for _, p in pii.segments("one two. " * 300_000)))) == 2_700_000
+    assert np.diff(Words(["ab " * 700_000, "x" * 1_500_000, ""], letters_and_digits()).first).tolist() == [700_000, 1, 0]
+    assert time.time() - began < 30
