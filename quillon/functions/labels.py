@@ -24,7 +24,9 @@ FLOORS = {
     "audit": {"T": 1.11, "N": 1.11, "M": 0.55},
 }
 LUNG_PROJECTS = ("TCGA-LUAD", "TCGA-LUSC")
-ADAPTERS = {"C0_none": "A", "C1_schema": "B", "C2_schema_onto": "C", "C3_full": "D"}
+# Adapter names by gate label; fully gated runs with retrieved context have their own.
+ADAPTERS = {"C0_none": "adapter_A_ungated", "C1_schema": "adapter_B_schema", "C2_schema_onto": "adapter_C_schema_onto", "C3_full": "adapter_D_full_norag"}
+ADAPTER_WITH_CONTEXT = "adapter_E_full_rag"
 
 
 def strip(x: Column) -> Column:
@@ -138,7 +140,9 @@ def completion(t: Column, n: Column, m: Column) -> Column:
     return F.format_string('{"T": "%s", "N": "%s", "M": "%s"}', t, n, m)
 
 
-CONCEPT = r"(?i)\b(lung|pulmon|bronch|pleura|pleural|thorac|carcinoma|adenocarcinoma|neoplasm|tumor|metasta)\b"
+# Words that make a label a lung-cancer concept.
+CONCEPT_WORDS = ("lung", "pulmon", "bronch", "adenocarcinoma", "squamous", "neoplasm", "staging", "carcinoma", "metastasis")
+CONCEPT = rf"(?i)\b({'|'.join(CONCEPT_WORDS)})\b"
 
 
 def lung_concept(label: Column) -> Column:
@@ -148,5 +152,5 @@ def lung_concept(label: Column) -> Column:
 
 def ontology_block(text: Column, codes: Column) -> Column:
     """The text followed by a heading and a line per code; unchanged without codes."""
-    lines = F.transform(codes, lambda c: F.concat(F.lit("- "), c["pref_label"], F.lit(" ("), c["snomed_id"], F.lit(")")))
-    return F.when(F.size(F.coalesce(codes, F.array())) > 0, F.concat(text, F.lit("\n\n[Concepts]\n"), F.array_join(lines, "\n"))).otherwise(text)
+    lines = F.transform(codes, lambda c: F.concat(F.lit("- "), c["pref_label"], F.lit(": "), c["snomed_id"]))
+    return F.when(F.size(F.coalesce(codes, F.array())) > 0, F.concat(text, F.lit("\n\n[Ontology Grounding]\n"), F.array_join(lines, "\n"))).otherwise(text)

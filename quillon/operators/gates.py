@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import payload
-from quillon.functions.labels import ADAPTERS
+from quillon.functions.labels import ADAPTER_WITH_CONTEXT, ADAPTERS
 
 
 def schema_ok(v: Column) -> Column:
@@ -30,7 +30,8 @@ def _label(note: Column, field: str) -> Column:
 
 
 def violations(v: Column) -> Column:
-    """Rule breaks of every note, by its number."""
+    """Rule breaks of every note, by its number. Without the key `notes` the payload itself breaks the rule; notes that are no
+    list hold no note that could."""
     notes = F.try_variant_get(v, "$.notes", "array<variant>")
 
     def of(note: Column, i: Column) -> Column:
@@ -39,11 +40,13 @@ def violations(v: Column) -> Column:
         bare = (t != "") & (n != "") & (m != "") & (group == "")
         visit = F.concat(F.lit("visit_"), i.cast("string"))
         return F.concat(
-            F.when(early, F.array(F.concat(visit, F.lit(":M1_without_StageIV")))).otherwise(F.array().cast("array<string>")),
+            F.when(early, F.array(F.concat(visit, F.lit(":M1_without_StageIV (group='"), group, F.lit("')")))).otherwise(F.array().cast("array<string>")),
             F.when(bare, F.array(F.concat(visit, F.lit(":missing_stage_group")))).otherwise(F.array().cast("array<string>")),
         )
 
-    return F.when(notes.isNull(), F.array(F.lit("missing_notes_key"))).otherwise(F.flatten(F.transform(notes, of)))
+    absent = F.try_variant_get(v, "$.notes", "variant").isNull()
+    found = F.flatten(F.transform(F.coalesce(notes, F.array().cast("array<variant>")), of))
+    return F.when(absent, F.array(F.lit("missing_notes_key"))).otherwise(found)
 
 
 def level(schema: Column, ontology: Column, logic: Column) -> Column:
@@ -56,9 +59,11 @@ def level(schema: Column, ontology: Column, logic: Column) -> Column:
     )
 
 
-def adapter(label: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in ADAPTERS.items() for x in pair])
-    return F.coalesce(table[label], F.lit("A"))
+def adapter(label: Column, with_context: bool = False) -> Column:
+    """The adapter trained on runs of a gate label; the ungated one for unknown labels."""
+    names = ADAPTERS | ({"C3_full": ADAPTER_WITH_CONTEXT} if with_context else {})
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(table[label], F.lit(ADAPTERS["C0_none"]))
 
 
 def notes_missing(v: Column, expected: int) -> Column:

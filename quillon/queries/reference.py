@@ -260,9 +260,9 @@ def _sql_label(f: str) -> str:
 
 SQL_GATES = f"""notes as (select line_no, unnest(json_extract(parsed_json,'$.notes[*]')) note, generate_subscripts(json_extract(parsed_json,'$.notes[*]'),1)-1 i from master_results where json_type(parsed_json,'$.notes')='ARRAY'),
  l as (select line_no, i, {_sql_label("T")} t, {_sql_label("N")} n, {_sql_label("M")} m, {_sql_label("stage_group")} g from notes),
- v as (select line_no, i, contains(m,'M1') and not contains(g,'IV') early, t<>'' and n<>'' and m<>'' and g='' bare from l),
+ v as (select line_no, i, contains(m,'M1') and not contains(g,'IV') early, g, t<>'' and n<>'' and m<>'' and g='' bare from l),
  s as (select line_no, sum(early::int + bare::int) k from v group by line_no),
- gate as (select r.line_no, r.model, {_PRESENT} schema_ok, coalesce(len(snomed_codes),0)>0 ontology_ok, case when coalesce(json_type(parsed_json,'$.notes'),'')='ARRAY' then coalesce(k,0) else 1 end::int violations from master_results r left join s using (line_no))"""
+ gate as (select r.line_no, r.model, {_PRESENT} schema_ok, coalesce(len(snomed_codes),0)>0 ontology_ok, case when json_type(parsed_json,'$.notes') is null then 1 else coalesce(k,0) end::int violations from master_results r left join s using (line_no))"""
 _SQL_LEVEL = "case when schema_ok and ontology_ok and violations=0 then 'C3_full' when schema_ok and ontology_ok then 'C2_schema_onto' when schema_ok then 'C1_schema' else 'C0_none' end"
 
 
@@ -277,7 +277,7 @@ def gate_eval(spark, sf):
     return gated(spark, sf).withColumn("gate_label", gates.level(F.col("schema_ok"), F.col("ontology_ok"), F.col("violations") == 0))
 
 
-@query("gate_levels", f"with {SQL_GATES} select model, {_SQL_LEVEL} gate_label, count(*) n, case {_SQL_LEVEL} when 'C3_full' then 'D' when 'C2_schema_onto' then 'C' when 'C1_schema' then 'B' else 'A' end adapter from gate group by all")
+@query("gate_levels", f"with {SQL_GATES} select model, {_SQL_LEVEL} gate_label, count(*) n, case {_SQL_LEVEL} when 'C3_full' then 'adapter_D_full_norag' when 'C2_schema_onto' then 'adapter_C_schema_onto' when 'C1_schema' then 'adapter_B_schema' else 'adapter_A_ungated' end adapter from gate group by all")
 def _(spark, sf):
     return gate_eval(spark, sf).groupBy("model", "gate_label").agg(F.count("*").alias("n")).withColumn("adapter", gates.adapter(F.col("gate_label")))
 
@@ -291,8 +291,8 @@ def _(spark, sf):
 
 @query(
     "logic_violations",
-    f"""with {SQL_GATES} select line_no, 'visit_'||i||':M1_without_StageIV' violation from v where early union all select line_no, 'visit_'||i||':missing_stage_group' from v where bare
- union all select line_no, 'missing_notes_key' from master_results where coalesce(json_type(parsed_json,'$.notes'),'')<>'ARRAY'""",
+    f"""with {SQL_GATES} select line_no, 'visit_'||i||':M1_without_StageIV (group='''||g||''')' violation from v where early union all select line_no, 'visit_'||i||':missing_stage_group' from v where bare
+ union all select line_no, 'missing_notes_key' from master_results where json_type(parsed_json,'$.notes') is null""",
 )
 def _(spark, sf):
     return _runs(spark, sf).select("line_no", F.explode(gates.violations(P.variant(F.col("parsed_json")))).alias("violation"))
@@ -653,13 +653,13 @@ def _(spark, sf):
 
 @query(
     "ontology_block",
-    "select line_no, md5(raw_output || case when coalesce(len(snomed_codes),0)>0 then '\n\n[Concepts]\n' || array_to_string(list_transform(snomed_codes, lambda c: '- '||c.pref_label||' ('||c.snomed_id||')'),'\n') else '' end) block from master_results",
+    "select line_no, md5(raw_output || case when coalesce(len(snomed_codes),0)>0 then '\n\n[Ontology Grounding]\n' || array_to_string(list_transform(snomed_codes, lambda c: '- '||c.pref_label||': '||c.snomed_id),'\n') else '' end) block from master_results",
 )
 def _(spark, sf):
     return _runs(spark, sf).select("line_no", F.md5(L.ontology_block(F.col("raw_output"), F.col("snomed_codes"))).alias("block"))
 
 
-@query("lung_concepts", r"select histology_name label, count(*) n from flat_labels where regexp_matches(histology_name,'(?i)\b(lung|pulmon|bronch|pleura|pleural|thorac|carcinoma|adenocarcinoma|neoplasm|tumor|metasta)\b') group by 1")
+@query("lung_concepts", r"select histology_name label, count(*) n from flat_labels where regexp_matches(histology_name,'(?i)\b(lung|pulmon|bronch|adenocarcinoma|squamous|neoplasm|staging|carcinoma|metastasis)\b') group by 1")
 def _(spark, sf):
     rows = table(spark, sf, "flat_labels").select(F.col("histology_name").alias("label"))
     return rows.where(L.lung_concept(F.col("label"))).groupBy("label").agg(F.count("*").alias("n"))

@@ -71,10 +71,10 @@ FULL = {"T": "T1", "N": "N0", "M": "M0", "stage_group": "IA"}
 @pytest.mark.parametrize(
     "payload, ok, broken",
     [
-        ({"notes": [note(**FULL)]}, True, []), ({"notes": [note(**(FULL | {"M": "M1"}))]}, True, ["visit_0:M1_without_StageIV"]), ({"notes": [note(**(FULL | {"M": "M1", "stage_group": "IVA"}))]}, True, []),
+        ({"notes": [note(**FULL)]}, True, []), ({"notes": [note(**(FULL | {"M": "M1"}))]}, True, ["visit_0:M1_without_StageIV (group='IA')"]), ({"notes": [note(**(FULL | {"M": "M1", "stage_group": "IVA"}))]}, True, []),
         ({"notes": [note(**(FULL | {"T": "Unknown"}))]}, False, []), ({"notes": [note(**(FULL | {"T": "UNKNOWN"}))]}, True, []), ({"notes": [note(**(FULL | {"T": 0}))]}, True, []),
         ({"notes": [note(T="T1", N="N0", M="M0")]}, False, ["visit_0:missing_stage_group"]), ({"notes": [note(T="T1", N="N0", M="M0", stage_group=None)]}, False, []), ({"notes": []}, False, []), ({}, False, ["missing_notes_key"]),
-        ({"notes": [note(**FULL), note(T="T1", N="N0", M="M1a", stage_group="IIIA")]}, True, ["visit_1:M1_without_StageIV"]), ({"notes": ["x"]}, False, []),
+        ({"notes": [note(**FULL), note(T="T1", N="N0", M="M1a", stage_group="IIIA")]}, True, ["visit_1:M1_without_StageIV (group='IIIA')"]), ({"notes": ["x"]}, False, []), ({"notes": note(**FULL)}, False, []),
     ],
 )
 def test_gates(spark, payload, ok, broken):
