@@ -30,6 +30,24 @@ def read_design(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=DESIGN)
 
 
+# Low and high level of each factor, and the centre they leave one at a time.
+LEVELS = {"max_length": (128, 512), "temperature": (0.3, 1.0), "top_p": (0.8, 1.0), "top_k": (10, 100), "do_sample": (True, False)}
+CENTRE = {"max_length": 256, "temperature": 0.7, "top_p": 0.95, "top_k": 50, "do_sample": True}
+
+
+def full_factorial(spark: SparkSession) -> DataFrame:
+    """All combinations of the levels (idx from 0), the last factor fastest."""
+    rows = spark.range(2 ** len(LEVELS)).select(F.col("id").cast("int").alias("idx"))
+    bits = {name: 2 ** k for k, name in enumerate(reversed(LEVELS))}
+    return rows.select("idx", *[F.when(F.col("idx").bitwiseAND(bits[n]) == 0, F.lit(low)).otherwise(F.lit(high)).alias(n) for n, (low, high) in LEVELS.items()])
+
+
+def one_factor_at_a_time(spark: SparkSession) -> DataFrame:
+    """Each numeric factor at its low and high level with the others at the centre, then the centre with and without sampling."""
+    settings = [CENTRE | {n: level} for n, levels in LEVELS.items() if n != "do_sample" for level in levels] + [CENTRE | {"do_sample": x} for x in LEVELS["do_sample"]]
+    return spark.createDataFrame([(k, *s.values()) for k, s in enumerate(settings)], "idx int, max_length int, temperature double, top_p double, top_k int, do_sample boolean")
+
+
 def choice(key: Column, salt: str, values: tuple) -> Column:
     """One of the values, fixed by the key."""
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))

@@ -677,25 +677,25 @@ def _models(spark, sf):
     return _runs(spark, sf).where(F.col("model").isNotNull()).select("model").distinct()
 
 
-def _design(spark):
-    """The full factorial of five two-level settings."""
-    rows = spark.range(32).select(F.col("id").cast("int").alias("idx"))
-    level = lambda bit, low, high: F.when(F.col("idx").bitwiseAND(bit) > 0, F.lit(high)).otherwise(F.lit(low))
-    return rows.select("idx", level(1, 500, 1500).alias("max_length"), level(2, 0.3, 1.0).alias("temperature"), level(4, 0.7, 0.95).alias("top_p"), level(8, 20, 80).alias("top_k"), (F.col("idx") >= 16).alias("do_sample"))
+_SQL_FACTORIAL = "select i::int idx, case when i&16=0 then 128 else 512 end max_length, case when i&8=0 then 0.3 else 1.0 end::double temperature, case when i&4=0 then 0.8 else 1.0 end::double top_p, case when i&2=0 then 10 else 100 end top_k from range(32) x(i)"
+_SQL_OFAT = "select * from (values (0,128,0.7::double,0.95::double,50),(1,512,0.7,0.95,50),(2,256,0.3,0.95,50),(3,256,1.0,0.95,50),(4,256,0.7,0.8,50),(5,256,0.7,1.0,50),(6,256,0.7,0.95,10),(7,256,0.7,0.95,100),(8,256,0.7,0.95,50),(9,256,0.7,0.95,50)) v(idx,max_length,temperature,top_p,top_k)"
 
 
 @query(
     "controlled_plan",
-    "with m as (select distinct model from master_results where model is not null) select model, i::int idx, model||'::controlled::factorial::'||i run_key, 'T'||(1+i//8) t, 'N'||((i%8)//2) n, 'M'||(i%2) m, case when i&1>0 then 1500 else 500 end max_length, case when i&2>0 then 1.0 else 0.3 end::double temperature, case when i&4>0 then 0.95 else 0.7 end::double top_p, case when i&8>0 then 80 else 20 end top_k from m, range(32) x(i)",
+    f"""with m as (select distinct model from master_results where model is not null), d as (select 'ofat' f, * from ({_SQL_OFAT}) union all select 'factorial', * from ({_SQL_FACTORIAL}))
+ select model, idx, model||'::controlled::'||f||'::'||idx run_key, 'T'||(1+idx//8) t, 'N'||((idx%8)//2) n, 'M'||(idx%2) m, max_length, temperature, top_p, top_k from m, d""",
 )
-def _(spark, sf):
-    return plans.controlled(_models(spark, sf), _design(spark), "factorial")
+def controlled_plan(spark, sf):
+    models = _models(spark, sf)
+    return plans.controlled(models, plans.one_factor_at_a_time(spark), "ofat").unionByName(plans.controlled(models, plans.full_factorial(spark), "factorial"))
 
 
-@query("plan_counts", "with m as (select count(distinct model) k from master_results) select 'exploratory' layer, 5*k n from m union all select 'controlled', 32*k from m union all select 'longitudinal', 5*k from m union all select 'sweep', 32*6*k from m")
+@query("plan_counts", "with m as (select count(distinct model) k from master_results) select 'exploratory' layer, 5*k n from m union all select 'controlled', 42*k from m union all select 'longitudinal', 5*k from m union all select 'sweep', 42*6*k from m")
 def _(spark, sf):
-    models, design = _models(spark, sf), _design(spark)
-    made = {"exploratory": plans.exploratory(models), "controlled": plans.controlled(models, design, "factorial"), "longitudinal": plans.longitudinal(models), "sweep": plans.sweep(design, models)}
+    models = _models(spark, sf)
+    designs = plans.one_factor_at_a_time(spark).unionByName(plans.full_factorial(spark))
+    made = {"exploratory": plans.exploratory(models), "controlled": controlled_plan(spark, sf), "longitudinal": plans.longitudinal(models), "sweep": plans.sweep(designs, models)}
     out = None
     for name, frame in made.items():
         row = frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n")
@@ -706,7 +706,7 @@ def _(spark, sf):
 @query("run_prompts")
 def _(spark, sf):
     """Seed case, context and chat markup of every controlled run."""
-    runs = plans.controlled(_models(spark, sf), _design(spark), "factorial")
+    runs = controlled_plan(spark, sf)
     case = plans.case_text(F.col("run_key"), F.col("t"), F.col("n"), F.col("m"))
     context = plans.keyword_context(F.col("t"), F.col("n"), F.col("m"))
     body = plans.prompt(F.lit(plans.MODES["zero_shot"]), case, context)

@@ -193,3 +193,10 @@ def test_stream_adds_each_run_once(spark, tmp_path):
     assert sorted(r.run_id for r in rows.collect()) == ["a", "b", "c"]
     batch = ingest.label_counts(spark.read.text(folder))
     assert {(r.dim, r.label, r.n) for r in batch.collect()} == {("t", "T1", 3), ("n", "N0", 3), ("m", "M0", 3)}
+
+
+def test_designs(spark):
+    full = plans.full_factorial(spark).orderBy("idx").collect()
+    assert len({tuple(r)[1:] for r in full}) == 32 and tuple(full[0]) == (0, 128, 0.3, 0.8, 10, True) and tuple(full[1]) == (1, 128, 0.3, 0.8, 10, False) and tuple(full[31]) == (31, 512, 1.0, 1.0, 100, False)
+    one = plans.one_factor_at_a_time(spark).orderBy("idx").collect()
+    assert len(one) == 10 and tuple(one[3])[1:] == (256, 1.0, 0.95, 50, True) and tuple(one[9])[1:] == (256, 0.7, 0.95, 50, False)
