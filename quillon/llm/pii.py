@@ -52,20 +52,15 @@ def encode(text: str) -> np.ndarray:
     return char_table()[np.minimum(codes, 0xFFFF)]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Tagger:
     """Weights: table (2, CHARS, 4H) of input projections, wh (2, H, 4H), wo (2, H, LABELS), bo, trans, start."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in weights.items()}
         self.h = self.w["wh"].shape[1]
+        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2: with the halving in the weights one tanh serves all four gates.
+        for name in ("wh", "table"):
+            self.w[name][:, :, : 3 * self.h] *= 0.5
 
     @classmethod
     def load(cls, path: str | None = None) -> Tagger:
@@ -75,19 +70,22 @@ class Tagger:
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Label scores (B, T, LABELS) of windows ids (B, T)."""
         b, t = ids.shape
-        h4, table, wh, wo = 4 * self.h, self.w["table"], self.w["wh"], self.w["wo"]
+        n, table, wh, wo = self.h, self.w["table"], self.w["wh"], self.w["wo"]
         out = np.zeros((b, t, LABELS), dtype=np.float32) + self.w["bo"]
         h = np.zeros((2, b, self.h), dtype=np.float32)
         c = np.zeros_like(h)
-        gates = np.empty((2, b, h4), dtype=np.float32)
+        gates = np.empty((2, b, 4 * n), dtype=np.float32)
         for k in range(t):
             np.matmul(h, wh, out=gates)
             gates[0] += table[0][ids[:, k]]
             gates[1] += table[1][ids[:, t - 1 - k]]
-            s = _sigmoid(gates[:, :, : 3 * self.h])
-            g = np.tanh(gates[:, :, 3 * self.h :])
-            c = s[:, :, self.h : 2 * self.h] * c + s[:, :, : self.h] * g
-            h = s[:, :, 2 * self.h :] * np.tanh(c)
+            np.tanh(gates, out=gates)
+            gates[:, :, : 3 * n] *= 0.5
+            gates[:, :, : 3 * n] += 0.5
+            c *= gates[:, :, n : 2 * n]
+            c += gates[:, :, :n] * gates[:, :, 3 * n :]
+            np.tanh(c, out=h)
+            h *= gates[:, :, 2 * n : 3 * n]
             out[:, k] += h[0] @ wo[0]
             out[:, t - 1 - k] += h[1] @ wo[1]
         return out
@@ -124,28 +122,34 @@ class Tagger:
         paths: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(emissions)
         order = sorted((n for n, e in enumerate(emissions) if len(e)), key=lambda n: len(emissions[n]))
         groups: list[list[int]] = []
+        trans = self.w["trans"]
         for n in order:  # padded to the longest, a group stays below a fixed number of characters
-            if not groups or len(groups[-1]) >= 128 or (len(groups[-1]) + 1) * len(emissions[n]) > PART:
+            if not groups or len(groups[-1]) >= 512 or (len(groups[-1]) + 1) * len(emissions[n]) > PART:
                 groups.append([])
             groups[-1].append(n)
         for group in groups:
-            longest = len(emissions[group[-1]])
-            score = np.zeros((len(group), longest, LABELS), dtype=np.float32)
+            longest, size = len(emissions[group[-1]]), len(group)
+            # Labels by texts, so that every step works along the texts.
+            score = np.zeros((longest, LABELS, size), dtype=np.float32)
             for k, n in enumerate(group):
-                score[k, : len(emissions[n])] = emissions[n]
-                score[k, len(emissions[n]) :, 1:] = -100.0
-            back = np.zeros((longest, len(group), LABELS), dtype=np.int8)
-            best = self.w["start"] + score[:, 0]
-            trans = self.w["trans"].T[None]
+                score[: len(emissions[n]), :, k] = emissions[n]
+                score[len(emissions[n]) :, 1:, k] = -100.0
+            back = np.zeros((longest, LABELS, size), dtype=np.int8)
+            best = self.w["start"][:, None] + score[0]
             for t in range(1, longest):
-                through = best[:, None, :] + trans
-                back[t] = through.argmax(axis=2)
-                best = through.max(axis=2) + score[:, t]
-            state, path = best.argmax(axis=1), np.zeros((longest, len(group)), dtype=np.int8)
-            rows = np.arange(len(group))
+                top = best[0] + trans[0][:, None]
+                source = back[t]
+                for label in range(1, LABELS):
+                    other = best[label] + trans[label][:, None]
+                    better = other > top
+                    np.copyto(source, label, where=better)
+                    np.maximum(top, other, out=top)
+                best = top + score[t]
+            state, path = best.argmax(axis=0), np.zeros((longest, size), dtype=np.int8)
+            rows = np.arange(size)
             for t in range(longest - 1, -1, -1):
                 path[t] = state
-                state = back[t, rows, state]
+                state = back[t, state, rows]
             for k, n in enumerate(group):
                 paths[n] = path[: len(emissions[n]), k]
         return paths
