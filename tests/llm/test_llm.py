@@ -103,6 +103,23 @@ def test_near_against_brute_force(spark):
     assert ("r%04d" % (len(ids) - 2), "r%04d" % (len(ids) - 1)) in got
 
 
+def test_near_finds_every_pair_of_a_hot_group(spark):
+    rng = random.Random(11)
+    texts = []
+    for length in (20, 62):
+        base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        texts += [" ".join(edited(rng, base, rng.randint(1, length // 14))) for _ in range(100)]
+    texts += [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(200)]
+    sets = [shingles(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    nodes = spark.createDataFrame(list(enumerate(texts)), "k int, text string").selectExpr("k", "0 grp", "text")
+    of = {r.node: r.k for r in nodes.select("k", near.node_of("grp", "text").alias("node")).collect()}
+    for options in ({}, {"block": 16}, {"most_parities": 0}):
+        search = near.Search(nodes, **options)
+        got = {tuple(sorted((of[r.a], of[r.b]))) for r in search.verified(search.candidates()).collect()}
+        assert got == {p for p in want if texts[p[0]] != texts[p[1]]}
+
+
 def test_near_groups_copies_and_hot_groups(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(3000)}" for _ in range(90)]
