@@ -120,6 +120,23 @@ def test_near_finds_every_pair_of_a_hot_group(spark):
         assert got == {p for p in want if texts[p[0]] != texts[p[1]]}
 
 
+def test_near_links_every_pair_of_a_large_component(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(3000)}" for _ in range(40)]
+    texts = sorted({" ".join(base), *(" ".join(edited(rng, base, rng.randint(1, 3))) for _ in range(340))})
+    search = near.Search(spark.createDataFrame([(0, t) for t in texts], "grp int, text string"), inside_block=100)
+    of = {r.node: shingles(r.text) for r in search.rows.collect()}
+    hub = next(n for n, held in of.items() if held == shingles(" ".join(base)))
+    star = [(min(n, hub), max(n, hub)) for n in of if n != hub]
+    search.candidates = lambda: spark.createDataFrame(star, "a long, b long")  # no more than connects them
+    links, classes = search.links()
+    nodes = sorted(r.node for r in classes.collect())
+    assert len(nodes) > 300
+    want = {(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :] if 2 * len(of[a] & of[b]) >= len(of[a] | of[b])}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_groups_copies_and_hot_groups(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(3000)}" for _ in range(90)]
