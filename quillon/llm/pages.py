@@ -345,7 +345,7 @@ def repair(text: str, labels: list[int], speller: Speller) -> str:
 class Corpus:
     """Counts over all texts and the fitted line model, ready to be sent to the workers."""
 
-    def __init__(self, rows: DataFrame, max_pages: int = 3000, most_words: int = 1_000_000):
+    def __init__(self, rows: DataFrame, max_pages: int = 3000):
         spark = rows.sparkSession
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,10 +365,8 @@ class Corpus:
             yield pd.DataFrame({"word": [f" {c}" for c in cells] + [" n"], "n": [*cells.values(), n]})
 
         counted = cut(rows.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-        total = counted.agg(F.sum("n")).first()[0] or 0
-        # At most total / floor words reach the floor, so what is sent stays below `most_words`.
-        floor = max(2, int(total // most_words))
-        got = counted.where((F.col("n") > floor) | F.col("word").startswith(" ")).toPandas()
+        # Nothing asks for a word of two occurrences or less; all others are sent, however many there are.
+        got = counted.where((F.col("n") > 2) | F.col("word").startswith(" ")).toPandas()
         line = got["word"].str.startswith(" ")
         self.counts = dict(zip(got["word"][~line], got["n"][~line].tolist()))
         texts = max(1, int(got["n"][got["word"] == " n"].sum()))

@@ -197,6 +197,13 @@ def test_pages(spark):
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 
+def test_rare_words_stay_known_in_long_corpora(spark):
+    many = " ".join(["the"] * 1_000_000)
+    texts = [many] * 4 + ["adeno mas"] * 4 + ["adenomas"] * 4
+    corpus_ = pages.Corpus(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert corpus_.counts["adenomas"] == 4 and pages.Speller(corpus_.counts).joined("adeno", "mas") == "adenomas"
+
+
 def test_canon(spark):
     ref = spark.createDataFrame([("A", "Adenocarcinoma", "ADC"), ("S", "Squamous Cell Carcinoma", "SqCC"), ("L", "Large Cell Carcinoma", "LCC"), ("P", "Papillary Adenocarcinoma", None)], "ref_code string, name string, short string")
     typed = {"adeno-ca": "A", "Carcinoma, squamous cell": "S", "Squamuos Cell Carcionma": "S", "lung, large cell ca.": "L", "pap. Adenocarcinoma NOS": "P", "sqcc": "S", "melanoma": "UNMATCHED", "lung": "UNMATCHED", "Carcinoma": "UNMATCHED"}
