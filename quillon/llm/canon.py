@@ -58,11 +58,22 @@ _NUMBER = {"one": "i", "two": "ii", "three": "iii", "four": "iv", "1": "i", "2":
 _STAGE_WORDS = r"\b(?:clinical|pathologic|pathological|stagge|stage|stag|stg|st|disease|ajcc\s*\d+|ed|edition)\b"
 
 
+# Words on evidence beside a stage; words on grade or site stay, as their numbers are no stages.
+_STAGE_ASIDE = set("group biopsy proven confirmed histologically cytology consistent with probable suspected favor favour favored likely dx diagnosis nos".split())
+
+
+def _beside_stage(word: str) -> bool:
+    """Whether a word is on evidence or edition, or is the word stage with a prefix or a typing error."""
+    bare = word[1:] if word[0] in "cpy" else word
+    return word in _STAGE_ASIDE or bool(re.fullmatch(r"\d+th", word)) or any(len(w) >= 4 and edits(w, "stage", 1) <= 1 for w in (word, bare))
+
+
 def stage_forms(value: str) -> list[str]:
     """A stage group in roman numerals and its letter; `l` or `1` among capital I's is an I."""
     text = re.sub(r"(?<![A-Za-z])([Il|]{1,3}|[Il|]V)([ABC]?)(?![a-z])", lambda m: m[1].replace("l", "I").replace("|", "I") + m[2], value.strip())
     text = re.sub(_STAGE_WORDS, " ", fold(text).replace("ajcc", " ajcc"))
-    words = [_NUMBER.get(w, w) for w in re.sub(r"([0-9])([a-c])\b", r"\1 \2", text).split()]
+    kept = " ".join(w for w in text.split() if not _beside_stage(w))
+    words = [_NUMBER.get(w, w) for w in re.sub(r"([0-9])([a-c])\b", r"\1 \2", kept).split()]
     joined = re.sub(r"^[cpy]+(?=[iv])", "", "".join(words))
     return [joined] if re.fullmatch(r"(?:i{1,3}|iv)[abc]?", joined) else [" ".join(words)]
 

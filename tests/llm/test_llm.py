@@ -226,6 +226,12 @@ def test_stage_forms():
 
 
 @needs_vocabulary
+def test_stage_forms_with_other_words():
+    for typed in ("Stage group IIIA", "pStage IIIA", "Satge IIIA", "Stage IIIA (8th ed.)", "Stage IIIA, biopsy proven"):
+        assert canon.stage_forms(typed) == ["iiia"], typed
+    assert canon.stage_forms("Grade 3") != ["iii"]
+
+
 def test_concatenation_equals_whole():
     rng = random.Random(1)
     for _ in range(400):
