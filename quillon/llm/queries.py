@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of cut rows per model."""
+    """Share of cut rows per model, of its rows with a raw_output; rows and models without any are not counted."""
     return _judged(spark, sf_dir).groupBy(F.col("source").alias("model")).agg(
         F.count("*").alias("n"), F.count_if("cut").alias("cut_rows"), (F.count_if("cut") / F.count("*")).alias("share")
     )
