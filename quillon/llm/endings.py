@@ -1,20 +1,26 @@
 """Texts cut off by a field limit or in transfer.
 
-Two kinds of evidence are combined for each value:
+Two kinds of evidence are combined for each value (a raw output, or a note text inside it):
 
-- Length. Per source the lengths follow a log-normal law; a share of the values passes fields that cut at a limit c, so
-  a value of length c is either a cut longer one (mass share * S(c)) or a whole one (density f(c)). Candidate limits are
-  lengths with more mass than the law gives them; law and shares are fitted together by EM on the right-censored
-  likelihood, per source, on the histogram of lengths (counted on the workers, one small group per source and field).
-  The fit gives each value its censoring posterior at its length.
-- Ending. Brackets, strings or code fences left open, a cut mark, or a last sentence without an end speak for a cut;
-  closed structures, end marks and full stops against it. Each ending class has a log-likelihood ratio.
+- Length. Per source and kind the lengths follow a log-normal law; a share of the values passes fields that cut at a limit c,
+  so a value of length c is either a cut longer one (mass share * S(c)) or a whole one (density f(c)). Candidate limits are
+  lengths with more unfinished values than the lengths around give them; law and shares are fitted together by EM on the
+  right-censored likelihood. The fit gives each value its censoring posterior at its length, which is the prior of:
+- Ending. Brackets, strings or code fences left open and cut marks show a cut, closed structures a whole value, whatever
+  the length. Running text that stops with or without the end of a sentence is soft evidence: how much it says is learnt per source
+  and kind, by EM over the histogram of lengths and endings, from what values at limits and away from them end with. A
+  source that leaves out full stops as a rule is thus judged by its limits alone, and a raw output that ends with a full
+  stop just at a limit counts as cut where the limit explains it better. A note that ends with a sentence is never a case.
 
-A row is a case when the posterior of its raw value, or of a note text inside it, is above one half.
+Values away from limits are cut in transfer with a share learnt with it, held to at most `MOST_CUT` of the running texts:
+where more than half of a source's texts end without a stop, this is taken as its way of writing.
+
+A row is a case when the posterior of its raw value, or of a note text inside it, is above one half. Each text is read
+once; lengths and endings are kept, and all else works on these.
 
 Defined results: null, empty and blank values, bare JSON literals, and whole values followed by remarks or blank space
-are no cases; rows without an id give no row; malformed but closed structures are no cases; equal values get equal answers; a source with few rows has
-no limits of its own and is judged by endings.
+are no cases; rows without an id give no row; malformed but closed structures are no cases; equal values get equal answers;
+a source with under `FEWEST` values of a kind has no limits of its own; its endings count as in the priors.
 """
 
 from __future__ import annotations
@@ -37,8 +43,15 @@ _END = re.compile(r"(?:\(end\)|-+\s*end of [a-z ]+-+|\*+\s*end of [a-z ]+\*+|\[e
 _STOP = re.compile(r"""[.!?]["'”’)\]]*\Z""")
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}\[\]]', re.S)
 _NOTE = re.compile(r'\\*"?free_text\\*+"?+\s*+:?+\s*+(?:\\"((?:(?!\\").|\\\\\\")*?)\\"|"((?:[^"\\]|\\.)*)")', re.S)
-#: Log-likelihood ratios of a cut against a whole value.
-OPEN, MARKED, MIDDLE, DONE, CLOSED = 12.0, 9.0, 8.0, -6.0, -20.0
+#: Endings, and the log-likelihood ratios of those that structure alone decides.
+OPEN, MARKED, MIDDLE, DONE, CLOSED = range(5)
+SHOWN = {OPEN: 12.0, MARKED: 9.0, CLOSED: -20.0}
+#: Share of running texts without a final stop among cut and whole ones, before any are seen, and the number of texts that this counts for.
+MIDDLE_IF_CUT, MIDDLE_IF_WHOLE, WEIGHT = 0.98, 0.002, 20.0
+#: Largest share of a source's running texts that can be cut away from limits; values that a source needs to have limits.
+MOST_CUT, FEWEST = 0.25, 50
+#: A limit shorter than this is none: no field is that short.
+SHORTEST = 16
 
 
 #: Characters at the end in which marks and full stops are looked for.
@@ -70,14 +83,14 @@ def open_at_end(text: str) -> tuple[bool, int]:
     return depth > 0 or unclosed, end
 
 
-def _tail(text: str) -> float:
-    """Evidence in the last words of running text."""
+def _tail(text: str) -> int:
+    """Whether running text ends with a sentence."""
     last = text[-_TAIL:]
     return DONE if _END.search(last) or _STOP.search(last) else MIDDLE
 
 
-def raw_evidence(value: str) -> float:
-    """Log-likelihood ratio from the ending of a raw output."""
+def raw_ending(value: str) -> int:
+    """How a raw output ends."""
     text = value.strip()
     if not text:
         return CLOSED
@@ -99,9 +112,9 @@ def raw_evidence(value: str) -> float:
     rest = rest.strip("`").strip(" \t\r\n,;")
     if not rest:
         return CLOSED
-    odds = _tail(rest)
+    ending = _tail(rest)
     # A finished remark after a closed structure, or blank space after a full stop, is no place for a limit to fall.
-    return CLOSED if odds == DONE and (end or value[-1].isspace()) else odds
+    return CLOSED if ending == DONE and (end or value[-1].isspace()) else ending
 
 
 def notes_in(value: str) -> list[str]:
@@ -116,86 +129,118 @@ def notes_in(value: str) -> list[str]:
     return found
 
 
-def note_evidence(note: str) -> float:
+def note_ending(note: str) -> int:
     text = note.strip()
     if not text:
-        return DONE
+        return CLOSED
     return MARKED if unmarked(text) != text else _tail(text)
 
 
-def fit_limits(lengths: np.ndarray, counts: np.ndarray, least: int = 12, rounds: int = 40) -> dict[int, float]:
-    """Candidate limits of one source with the log odds that a value of just that length was cut."""
+def fit_limits(lengths: np.ndarray, counts: np.ndarray, unfinished: np.ndarray, least: int = 12, rounds: int = 40) -> dict[int, float]:
+    """Candidate limits of one source with the log odds that an unfinished value of just that length was cut there.
+    `counts` are all values of a length, `unfinished` those whose structure is not closed."""
     keep = lengths > 0
-    lengths, counts = lengths[keep], counts[keep].astype(float)
-    if counts.sum() < 50:
+    lengths, counts, unfinished = lengths[keep], counts[keep].astype(float), unfinished[keep].astype(float)
+    if counts.sum() < FEWEST:
         return {}
     x, total = np.log(lengths), counts.sum()
-    # Local level: the median count of the lengths nearby, taken with the empty ones.
-    table = np.zeros(int(lengths.max()) + 102)
-    table[lengths.astype(int)] = counts
-    near = np.array([table[max(1, int(c) - 50) : int(c) + 51].sum() - table[int(c)] for c in lengths]) / 100
-    limit = (counts >= least) & (counts > 8 * (near + 0.5))
+    # Local level: the mean count of the lengths nearby, taken with the empty ones.
+    sums = np.concatenate([[0.0], np.cumsum(np.bincount(lengths.astype(int), weights=unfinished, minlength=int(lengths.max()) + 102))])
+    at = lengths.astype(int)
+    near = (sums[at + 51] - sums[np.maximum(1, at - 50)] - unfinished) / 100
+    limit = (unfinished >= least) & (unfinished > 8 * (near + 0.5)) & (lengths >= SHORTEST)
     if not limit.any():
         return {}
     mu, sigma = float(np.average(x, weights=counts)), float(np.sqrt(np.cov(x, aweights=counts)) + 1e-3)
     share = np.where(limit, 0.05, 0.0)
+    above = np.array([counts[x >= v].sum() for v in x[limit]])
     for _ in range(rounds):
         z = (x - mu) / sigma
         density = np.exp(-0.5 * z * z) / (sigma * math.sqrt(2 * math.pi) * lengths)
         beyond = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
-        cut = np.where(limit, share * beyond / np.maximum(share * beyond + (1 - share) * density, 1e-300), 0.0)
+        cut = np.where(limit, share * beyond / np.maximum(share * beyond + (1 - share) * density, 1e-300), 0.0) * unfinished / counts
         hazard = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / np.maximum(beyond, 1e-12)
         mean = mu + sigma * hazard
         square = mean * mean + sigma * sigma * (1 + z * hazard - hazard * hazard)
         ex, ex2 = cut * mean + (1 - cut) * x, cut * square + (1 - cut) * x * x
         mu = float((counts * ex).sum() / total)
         sigma = float(np.sqrt(max((counts * ex2).sum() / total - mu * mu, 1e-6)))
-        above = np.array([counts[x >= v].sum() for v in x[limit]])
         share[limit] = np.clip((counts * cut)[limit] / np.maximum(above, 1.0), 1e-6, 1 - 1e-6)
     odds = share * beyond / np.maximum((1 - share) * np.maximum(density, near / total), 1e-300)
     return {int(c): float(np.log(max(o, 1e-12))) for c, o in zip(lengths[limit], odds[limit])}
 
 
-def judge(df: DataFrame, row_id: str, source: str, value: str, max_sent: int = 100_000, salts: int = 32) -> DataFrame:
-    """Per value of the input: row_id, source, cut (boolean) and posterior. Two passes over the values: one counts
-    lengths, one judges; only histograms and limits are shuffled."""
+def fit_endings(lengths: np.ndarray, middle: np.ndarray, done: np.ndarray, limits: dict[int, float], rounds: int = 200) -> tuple[float, float, float]:
+    """(log odds of a cut away from limits, log-likelihood ratio of MIDDLE, that of DONE) of one source and kind, by EM over
+    its running texts: `middle` and `done` are how many of each length end without and with a stop."""
+    prior = np.array([limits.get(int(c), np.nan) for c in lengths])
+    free = np.isnan(prior)
+    n, away = (middle + done).sum(), (middle + done)[free].sum()
+    share, if_cut, if_whole = 0.01, MIDDLE_IF_CUT, MIDDLE_IF_WHOLE
+    for _ in range(rounds):
+        odds = np.where(free, math.log(share / (1 - share)), prior)
+        says = math.log(if_cut / if_whole), math.log((1 - if_cut) / (1 - if_whole))
+        cut_middle, cut_done = (1 / (1 + np.exp(-np.clip(odds + s, -30, 30))) for s in says)
+        m, d = (middle * cut_middle).sum(), (done * cut_done).sum()
+        share = min(MOST_CUT, ((middle * cut_middle + done * cut_done)[free].sum() + 0.01 * WEIGHT) / (away + WEIGHT))
+        if_cut = (m + MIDDLE_IF_CUT * WEIGHT) / (m + d + WEIGHT)
+        if_whole = (middle.sum() - m + MIDDLE_IF_WHOLE * WEIGHT) / (n - m - d + WEIGHT)
+    return math.log(share / (1 - share)), math.log(if_cut / if_whole), math.log((1 - if_cut) / (1 - if_whole))
+
+
+def fit_source(part: pd.DataFrame, with_limits: bool = True) -> pd.DataFrame:
+    """What a histogram (source, kind, length, ending, n) of one source says: rows (source, kind, length, odds) for limits;
+    length -1, -2 and -3 hold what `fit_endings` gives."""
+    rows = []
+    for kind, own in part.groupby("kind"):
+        wide = own.pivot_table(index="length", columns="ending", values="n", aggfunc="sum", fill_value=0).reindex(columns=range(5), fill_value=0)
+        lengths, n = wide.index.to_numpy(), wide.to_numpy()
+        limits = fit_limits(lengths, n.sum(axis=1), n[:, [OPEN, MARKED, MIDDLE, DONE]].sum(axis=1)) if with_limits else {}
+        fitted = fit_endings(lengths, n[:, MIDDLE].astype(float), n[:, DONE].astype(float), limits)
+        rows += [(own["source"].iloc[0], kind, c, o) for c, o in [*limits.items(), *zip((-1, -2, -3), fitted)]]
+    return pd.DataFrame(rows, columns=["source", "kind", "length", "odds"])
+
+
+def judge(df: DataFrame, row_id: str, source: str, value: str, max_sent: int = 100_000, salts: int = 32, with_limits: bool = True) -> DataFrame:
+    """Per value of the input: row_id, source, cut (boolean) and posterior. The values are read once; only histograms and
+    what is fitted to them are shuffled."""
     rows = df.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(value).alias("value"))
     rows = rows.where(F.col("value").isNotNull() & F.col("row_id").isNotNull())
 
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[tuple, int] = {}
-            for src, text in zip(batch["source"], batch["value"]):
-                for key in [(src, "raw", len(text)), *((src, "note", len(n)) for n in notes_in(text))]:
-                    seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["source", "kind", "length", "n"])
-
-    def limits(key, part: pd.DataFrame) -> pd.DataFrame:
-        found = fit_limits(part["length"].to_numpy(), part["n"].to_numpy())
-        return pd.DataFrame([(*key, c, o) for c, o in found.items()], columns=["source", "kind", "length", "odds"])
-
-    histogram = (
-        rows.mapInPandas(lengths, "source string, kind string, length int, n long").groupBy("source", "kind", "length").agg(F.sum("n").alias("n"))
-    )
-    found = cut(histogram.groupBy("source", "kind").applyInPandas(limits, "source string, kind string, length int, odds double"))
+            parts = [[(0, len(text), raw_ending(text)), *((1, len(n), note_ending(n)) for n in notes_in(text))] for text in batch["value"]]
+            columns = {c: [[p[k] for p in row] for row in parts] for k, c in enumerate(("kinds", "lengths", "endings"))}
+            yield pd.DataFrame({"row_id": batch["row_id"], "source": batch["source"], **columns})
+
+    seen = cut(rows.mapInPandas(read, "row_id long, source string, kinds array<int>, lengths array<int>, endings array<int>"))
+    parts = seen.select("source", F.explode(F.arrays_zip("kinds", "lengths", "endings")).alias("p"))
+    parts = parts.select("source", F.col("p.kinds").alias("kind"), F.col("p.lengths").alias("length"), F.col("p.endings").alias("ending"))
+    histogram = parts.groupBy("source", "kind", "length", "ending").agg(F.count("*").alias("n"))
+    found = cut(histogram.groupBy("source").applyInPandas(lambda part: fit_source(part, with_limits), "source string, kind int, length int, odds double"))
     few = found.count() <= max_sent
-    per_source = found.groupBy("source").agg(F.collect_list(F.struct("kind", "length", "odds")).alias("limits"))
+    per_source = found.groupBy("source").agg(F.collect_list(F.struct("kind", "length", "odds")).alias("known"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, src, text, known in zip(batch["row_id"], batch["source"], batch["value"], batch["limits"]):
-                odds = {(k["kind"], k["length"]): k["odds"] for k in known} if known is not None else {}
-                # Away from any limit a cut in transfer is still possible, at one in a hundred.
-                best = odds.get(("raw", len(text)), -4.6) + raw_evidence(text)
-                for note in notes_in(text):
-                    best = max(best, odds.get(("note", len(note)), -4.6) + note_evidence(note))
-                out.append((key, src, best > 0, 1 / (1 + math.exp(-max(-30.0, min(30.0, best))))))
-            yield pd.DataFrame(out, columns=["row_id", "source", "cut", "posterior"])
+            fitted: dict[str, dict] = {}
+            best = []
+            for src, known, *row in zip(batch["source"], batch["known"], batch["kinds"], batch["lengths"], batch["endings"]):
+                if src not in fitted:
+                    fitted[src] = {(k["kind"], k["length"]): k["odds"] for k in known}
+                of = fitted[src]
+                says = []
+                for kind, length, ending in zip(*row):
+                    # A note is a case only if it stops amid a word or sentence.
+                    ratio = SHOWN.get(CLOSED if kind and ending == DONE else ending)
+                    says.append(of.get((kind, length), of[kind, -1]) + (of[kind, -2 if ending == MIDDLE else -3] if ratio is None else ratio))
+                best.append(max(says))
+            best = np.array(best)
+            yield pd.DataFrame({"row_id": batch["row_id"], "source": batch["source"], "cut": best > 0, "posterior": 1 / (1 + np.exp(-np.clip(best, -30, 30)))})
 
     if few:
-        joined = rows.join(F.broadcast(per_source), "source", "left")
+        joined = seen.join(F.broadcast(per_source), "source")
     else:  # many sources: by shuffle, each source's rows spread over `salts` tasks
         spread = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).join(spread, ["source", "salt"], "left").drop("salt")
+        joined = seen.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).join(spread, ["source", "salt"]).drop("salt")
     return joined.mapInPandas(decide, "row_id long, source string, cut boolean, posterior double")
