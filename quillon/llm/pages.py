@@ -3,7 +3,8 @@
 Lines are labelled by a hidden Markov model over layout features (states: body, heading, furniture, blank): whether the line
 is or ends in a page number, its length against the page's width, its capitals, its last character, whether it interrupts a
 sentence, and how often the same line (numbers aside) occurs in the text and in all texts. The model starts from a prior and
-is refined by EM on at most `max_pages` texts; corpus counts of lines and words cover all texts.
+is refined by EM over all texts, whose expected counts are summed on the workers; corpus counts of lines and words cover all
+texts.
 
 Words are repaired against the words of all texts. A word broken at a line end (furniture between its halves is skipped) is
 joined with or without the hyphen, whichever the texts use more; a word that is itself rare and turns into a far more
@@ -98,65 +99,133 @@ class Model:
     def prior(cls) -> Model:
         return cls([np.log(np.array(p)) for p in PRIOR], np.log(np.array(TRANSITION)), np.log(np.array(START)))
 
-    def scores(self, rows: list[tuple | None]) -> np.ndarray:
-        """Log chance of each line under each state; None is a blank line."""
-        out = np.full((len(rows), 4), -50.0)
-        for k, row in enumerate(rows):
-            if row is None:
-                out[k, BLANK] = 0.0
-            else:
-                out[k, :3] = sum(table[:, v] for table, v in zip(self.emit, row))
+    def scores(self, lines: np.ndarray) -> np.ndarray:
+        """Log chance of each line of (texts, lines, features) under each state; blank lines have feature -1."""
+        out = np.full((*lines.shape[:2], 4), -50.0)
+        out[..., :3] = sum(table.T[lines[..., k]] for k, table in enumerate(self.emit))
+        blank = lines[..., 0] < 0
+        out[blank] = -50.0
+        out[blank, BLANK] = 0.0
         return out
 
-    def label(self, rows: list[tuple | None]) -> list[int]:
-        """The most probable states."""
-        if not rows:
-            return []
-        own = self.scores(rows)
-        best, back = self.start + own[0], []
-        for k in range(1, len(rows)):
-            through = best[:, None] + self.step
-            back.append(through.argmax(axis=0))
-            best = through.max(axis=0) + own[k]
-        path = [int(best.argmax())]
-        for step in reversed(back):
-            path.append(int(step[path[-1]]))
-        return path[::-1]
-
-    def expected(self, rows: list[tuple | None]) -> tuple[np.ndarray, np.ndarray]:
-        """State and transition posteriors by forward and backward sums."""
-        own, n = self.scores(rows), len(rows)
-        ahead, behind = np.zeros((n, 4)), np.zeros((n, 4))
-        ahead[0] = self.start + own[0]
+    def label(self, pages: list[list[tuple | None]]) -> list[list[int]]:
+        """The most probable states of the lines of every text."""
+        found: list[list[int]] = [[]] * len(pages)
+        for group in _alike(pages):
+            lines, sizes = packed([pages[n] for n in group])
+            own = self.scores(lines)
+            best = np.empty_like(own)
+            back = np.zeros(own.shape, dtype=np.int8)
+            best[:, 0] = self.start + own[:, 0]
+            for k in range(1, own.shape[1]):
+                through = best[:, k - 1, :, None] + self.step
+                back[:, k] = through.argmax(axis=1)
+                best[:, k] = through.max(axis=1) + own[:, k]
+            path = np.zeros(own.shape[:2], dtype=np.int8)
+            state = np.zeros(len(group), dtype=np.int64)
+            every = np.arange(len(group))
+            for k in range(own.shape[1] - 1, -1, -1):
+                state = np.where(sizes - 1 == k, best[:, k].argmax(axis=1), state)
+                path[:, k] = state
+                state = np.where(k < sizes, back[every, k, state], state)
+            for row, n in enumerate(group):
+                found[n] = path[row, : sizes[row]].tolist()
+        return found
+
+    def expected(self, lines: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Expected counts of feature values by state, of steps and of first states, by forward and backward sums."""
+        own = self.scores(lines)
+        n = own.shape[1]
+        ahead, behind = np.zeros_like(own), np.zeros_like(own)
+        ahead[:, 0] = self.start + own[:, 0]
         for k in range(1, n):
-            ahead[k] = np.logaddexp.reduce(ahead[k - 1][:, None] + self.step, axis=0) + own[k]
+            ahead[:, k] = np.logaddexp.reduce(ahead[:, k - 1, :, None] + self.step, axis=1) + own[:, k]
         for k in range(n - 2, -1, -1):
-            behind[k] = np.logaddexp.reduce(self.step + (own[k + 1] + behind[k + 1])[None], axis=1)
-        total = np.logaddexp.reduce(ahead[-1])
-        both = np.zeros((4, 4))
-        for k in range(n - 1):
-            both += np.exp(ahead[k][:, None] + self.step + (own[k + 1] + behind[k + 1])[None] - total)
-        return np.exp(ahead + behind - total), both
-
-
-def refine(pages: list[list[tuple | None]], rounds: int = 3, strength: float = 20_000.0) -> Model:
-    """EM with the prior as pseudo-counts."""
+            on = np.logaddexp.reduce(self.step + (own[:, k + 1] + behind[:, k + 1])[:, None], axis=2)
+            behind[:, k] = np.where((k + 1 < sizes)[:, None], on, 0.0)
+        total = np.logaddexp.reduce(ahead[np.arange(len(sizes)), sizes - 1], axis=1)
+        inside = np.arange(n) < sizes[:, None]
+        state = np.where(inside[..., None], np.exp(ahead + behind - total[:, None, None]), 0.0)
+        both = np.exp(np.minimum(ahead[:, :-1, :, None] + self.step + (own[:, 1:] + behind[:, 1:])[:, :, None] - total[:, None, None, None], 0.0))
+        both = (both * inside[:, 1:, None, None]).sum(axis=(0, 1))
+        written = inside & (lines[..., 0] >= 0)
+        held, values = state[written][:, :3], lines[written]
+        counts = [np.stack([np.bincount(values[:, k], weights=held[:, s], minlength=size) for s in range(3)]) for k, size in enumerate(SIZES)]
+        return [*counts, both, state[:, 0].sum(axis=0)]
+
+
+def _alike(pages: list[list[tuple | None]], at_once: int = 256) -> Iterator[list[int]]:
+    """Numbers of texts with lines, those of like length together."""
+    order = sorted((n for n, rows in enumerate(pages) if rows), key=lambda n: len(pages[n]))
+    group: list[int] = []
+    for n in order:
+        if group and (len(group) == at_once or len(pages[n]) > 2 * len(pages[group[0]]) + 8 or (len(group) + 1) * len(pages[n]) > 1 << 16):
+            yield group
+            group = []
+        group.append(n)
+    if group:
+        yield group
+
+
+def packed(pages: list[list[tuple | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts as one array (texts, lines, features), filled up with blank lines, and the number of lines of each."""
+    sizes = np.array([len(rows) for rows in pages])
+    out = np.full((len(pages), sizes.max(), len(SIZES)), -1, dtype=np.int8)
+    for own, rows in zip(out, pages):
+        own[: len(rows)] = [row or (-1,) * len(SIZES) for row in rows]
+    return out, sizes
+
+
+#: Shapes of the expected counts, in order.
+_SHAPES = [*((3, size) for size in SIZES), (4, 4), (4,)]
+
+
+def _flat(counts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([c.ravel() for c in counts])
+
+
+def updated(flat: np.ndarray, share: float, least: float) -> Model:
+    """The model of summed expected counts, with the prior as pseudo-counts: `share` of the lines counted, so that data of
+    any size weigh alike against it, and at least `least`."""
+    cuts = np.cumsum([int(np.prod(s)) for s in _SHAPES])[:-1]
+    counts = [c.reshape(s) for c, s in zip(np.split(flat, cuts), _SHAPES)]
+    strength = max(least, share * counts[-2].sum())
+    counts = [c + np.array(p) * strength for c, p in zip(counts, [*PRIOR, TRANSITION, START])]
+    log = [np.log(c / c.sum(axis=-1, keepdims=True)) for c in counts]
+    return Model(log[:-2], log[-2], log[-1])
+
+
+def refine(rows: DataFrame, often_of, rounds: int = 3, share: float = 1 / 6, least: float = 20_000.0) -> Model:
+    """EM over all texts of `rows`: features are written once, each round sums the expected counts on the workers."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = often_of()
+        for batch in batches:
+            pages = [features([x for _, x in lines_of(t)], look) for t in batch["text"]]
+            pages = [p for p in pages if len(p) > 1]
+            groups = list(_alike(pages))
+            boxes = [packed([pages[n] for n in group]) for group in groups]
+            if boxes:
+                yield pd.DataFrame({"lines": [x.tobytes() for x, _ in boxes], "sizes": [s.tolist() for _, s in boxes]})
+
+    held = cut(rows.select("text").mapInPandas(pack, "lines binary, sizes array<long>"))
     model = Model.prior()
     for _ in range(rounds):
-        counts = [np.array(p) * strength for p in PRIOR]
-        steps, start = np.array(TRANSITION) * strength, np.array(START) * strength
-        for rows in pages:
-            if not rows:
-                continue
-            state, both = model.expected(rows)
-            steps += both
-            start += state[0]
-            for k, row in enumerate(rows):
-                if row is not None:
-                    for table, v in zip(counts, row):
-                        table[:, v] += state[k, :3]
-        log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-        model = Model([log(t) for t in counts], log(steps), log(start))
+        sent = model
+
+        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            total = np.zeros(sum(int(np.prod(s)) for s in _SHAPES))
+            for batch in batches:
+                for lines, sizes in zip(batch["lines"], batch["sizes"]):
+                    sizes = np.asarray(sizes)
+                    box = np.frombuffer(lines, dtype=np.int8).reshape(len(sizes), -1, len(SIZES))
+                    total += _flat(sent.expected(box, sizes))
+            yield pd.DataFrame({"place": np.arange(len(total)), "n": total})
+
+        sums = held.mapInPandas(count, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").toPandas()
+        if not len(sums):
+            break
+        model = updated(sums["n"].to_numpy(), share, least)
     return model
 
 
@@ -345,7 +414,7 @@ def repair(text: str, labels: list[int], speller: Speller) -> str:
 class Corpus:
     """Counts over all texts and the fitted line model, ready to be sent to the workers."""
 
-    def __init__(self, rows: DataFrame, max_pages: int = 3000):
+    def __init__(self, rows: DataFrame):
         spark = rows.sparkSession
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -373,9 +442,8 @@ class Corpus:
         held = got[line & (got["word"] != " n")]
         self.cells = np.zeros(CELLS, dtype=np.int8)
         self.cells[held["word"].astype(np.int64).to_numpy()] = [commonness(n, texts) for n in held["n"]]
-        sample = rows.orderBy(F.xxhash64("text"), "text").limit(max_pages)
-        pages = [features([x for _, x in lines_of(r["text"])], self.often) for r in sample.select("text").collect()]
-        self.model = refine([p for p in pages if len(p) > 1])
+        cells = spark.sparkContext.broadcast(self.cells)
+        self.model = refine(rows, lambda: lambda key: often(cells.value, key))
         self.sent = spark.sparkContext.broadcast((self.counts, self.cells, self.model))
 
     def often(self, key: str) -> int:
@@ -391,8 +459,8 @@ def often(cells: np.ndarray, key: str) -> int:
     return int(cells[_cell(key)])
 
 
-def _labelled(text: str, cells: np.ndarray, model: Model) -> list[int]:
-    return model.label(features([x for _, x in lines_of(text)], lambda key: often(cells, key)))
+def _labelled(texts: list[str], cells: np.ndarray, model: Model) -> list[list[int]]:
+    return model.label([features([x for _, x in lines_of(t)], lambda key: often(cells, key)) for t in texts])
 
 
 def _rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -409,7 +477,8 @@ def find(df: DataFrame, row_id: str, text: str) -> DataFrame:
         counts, cells, model = sent.value
         speller = Speller(counts)
         for batch in batches:
-            got = [(i, *f) for i, t in zip(batch["row_id"], batch["text"]) for f in findings(t, _labelled(t, cells, model), speller)]
+            texts = batch["text"].tolist()
+            got = [(i, *f) for i, t, own in zip(batch["row_id"], texts, _labelled(texts, cells, model)) for f in findings(t, own, speller)]
             yield pd.DataFrame(got, columns=["row_id", "kind", "start_at", "fixed"])
 
     return rows.mapInPandas(run, "row_id long, kind string, start_at int, fixed string")
@@ -424,6 +493,7 @@ def repaired(df: DataFrame, row_id: str, text: str) -> DataFrame:
         counts, cells, model = sent.value
         speller = Speller(counts)
         for batch in batches:
-            yield batch.map(lambda t: repair(t, _labelled(t, cells, model), speller) if t and t.strip() else t)
+            labels = iter(_labelled([t for t in batch if t and t.strip()], cells, model))
+            yield batch.map(lambda t: repair(t, next(labels), speller) if t and t.strip() else t)
 
     return df.select(F.col(row_id).cast("long").alias("row_id"), run(F.col(text)).alias("text"))
