@@ -88,6 +88,16 @@ def _grams(text: str) -> Counter:
     return found
 
 
+def _pairs(word: str) -> list[str]:
+    """Pairs of neighbouring letters, each with its number of earlier occurrences."""
+    padded, seen, out = f"^{word}$", Counter(), []
+    for i in range(len(padded) - 1):
+        pair = padded[i : i + 2]
+        out.append(f"{pair}{seen[pair]}")
+        seen[pair] += 1
+    return out
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours from a to b; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -118,6 +128,10 @@ class Index:
         self.exact = defaultdict(set)
         self.vocabulary = sorted({w for text, _ in texts for w in text.split()})
         self.spelt: dict[str, str] = {w: w for w in self.vocabulary}
+        self.holding: dict[str, list[str]] = defaultdict(list)
+        for w in self.vocabulary:
+            for pair in _pairs(w):
+                self.holding[pair].append(w)
         self.postings: dict[str, list] = defaultdict(list)
         for k, (text, code) in enumerate(texts):
             self.exact[text].add(code)
@@ -134,11 +148,21 @@ class Index:
         if word not in self.spelt:
             if len(self.spelt) > 1_000_000:
                 self.spelt = {w: w for w in self.vocabulary}
-            most = 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
-            near = sorted((edits(word, w, most), w) for w in self.vocabulary if len(w) >= 4) if most and word not in ASIDE else []
-            self.spelt[word] = near[0][1] if near and near[0][0] <= most else word
+            self.spelt[word] = self._nearest(word)
         return self.spelt[word]
 
+    def _nearest(self, word: str) -> str:
+        most = 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
+        if not most or word in ASIDE:
+            return word
+        shared: Counter = Counter()
+        for pair in _pairs(word):
+            shared.update(self.holding.get(pair, ()))
+        # An edit changes at most three pairs of neighbouring letters (a swap does), so words within `most` share the others.
+        needed = len(word) + 1 - 3 * most
+        near = min(((edits(word, w, most), w) for w, n in shared.items() if n >= needed and len(w) >= 4), default=(most + 1, word))
+        return near[1] if near[0] <= most else word
+
     def scores(self, value: str) -> list[tuple[float, str]]:
         """Entries by their best score over the forms of the value, best first."""
         best: dict[str, float] = defaultdict(float)
@@ -178,5 +202,7 @@ def map_values(
             yield pd.DataFrame(got, columns=["value", "ref_code", "score"])
 
     kept = rows.select(F.col(id_col).alias("id"), F.col(value).alias("value")).where(F.col("value").rlike(r"(?U)\S"))
-    mapped = kept.select("value").distinct().mapInPandas(run, "value string, ref_code string, score double")
+    # A given number of partitions, as adaptive execution would put few but costly values into one task.
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    mapped = kept.select("value").distinct().repartition(tasks, "value").mapInPandas(run, "value string, ref_code string, score double")
     return kept.join(mapped, "value").select("id", "value", "ref_code", "score")
