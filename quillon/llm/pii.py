@@ -3,7 +3,8 @@
 Texts are cut into overlapping windows that are run in large batches through both directions at once; label scores of
 overlapping windows are weighted by their distance from the window's edge and summed, and one Viterbi pass over the
 whole text reconciles them. Exact checks follow: spans are brought to word limits, titles and labels are taken off,
-and a span must have what its kind needs (digits, an @ or its written form, capitals).
+and a span must have what its kind needs (digits, an @ or its written form, capitals). A number right behind the name of the
+other kind of number (a phone behind MRN, an identity number behind Tel.) is of that kind.
 
 The weights are made by `pii_train` from generated, labelled text and stand beside this module.
 
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 KINDS = ("name", "phone", "email", "id_number", "address")
 LABELS = 1 + 2 * len(KINDS)  # 0 outside, 2k + 1 first character, 2k + 2 further ones of kind k
-WINDOW, STRIDE = 128, 88
+WINDOW, STRIDE = 256, 216
 #: Characters tagged at a time; bounds the memory of a worker.
 PART = 1 << 20
 CHARS = 102
@@ -197,6 +198,9 @@ _TITLE = re.compile(r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Professor|Doctor|Sister|Nurse
 _LABEL = re.compile(
     r"(?:(?:MRN|SSN|NHS|ID|Tel|Phone|Fax|E-?mail|Passport|Ref|hospital|member|insurance|national|medical|record|social|security|number|licen[sc]e|driver'?s|no)\b[.:#]?\s*)+", re.I
 )
+#: What stands before a number and says which of two like kinds it is.
+_SAYS_PHONE = re.compile(r"\b(?:tel|telephone|phone|mobile|cell|fax|call|ring|dial|pager|bleep|text|hotline|switchboard|landline|line)\b[.:]?(?:\s*(?:no\b\.?|number|on|at|is))?[\s:(#-]*\Z", re.I)
+_SAYS_ID = re.compile(r"\b(?:mrn|ssn|nhs|passport|insurance|member|policy|record|chart|licen[sc]e|permit|patient id|hospital)\b[.:]?(?:\s*(?:no\b\.?|number|id|card|is))*[\s:(#-]*\Z", re.I)
 _AT = re.compile(r"@|\(at\)|\[at\]|\sat\s", re.I)
 
 
@@ -227,6 +231,11 @@ def checked(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int
             start = m.end()
         while end > start and (text[end - 1].isspace() or text[end - 1] in ",;:("):
             end -= 1
+        before = text[max(0, start - 30) : start]
+        if name == "id_number" and _SAYS_PHONE.search(before):
+            name = "phone"
+        elif name == "phone" and _SAYS_ID.search(before):
+            name = "id_number"
         held = text[start:end]
         digits = sum(c.isdigit() for c in held)
         fits = {

@@ -1,191 +1,338 @@
 """Makes the weights of `pii` from generated, labelled text.
 
-    python -m quillon.llm.pii_train FILLER.parquet OUT.npz [STEPS]
+    python -m quillon.llm.pii_train FILLER.parquet OUT.npz [STEPS] [PROCESSES]
 
-Labelled spans are generated (names from syllables and common ones, numbers and addresses in many formats) inside carrier
-sentences; sentences without personal data come from a bounded sample (`MAX_FILLER` rows) of the `text` column of FILLER
-and from sentences with eponyms, buildings and technical numbers. Part of the text is wrapped, hyphenated, misread and
-interrupted by page lines, as in scans. Gradients are written out by hand; the optimiser is Adam.
+Items (names from syllables and common ones; numbers, mail and street addresses in many formats) stand in sentences put
+together from word lists, or are put into sentences of a bounded sample (`MAX_FILLER` rows) of the `text` column of FILLER, which
+is also the text without items, beside generated sentences on buildings, stains, specimens and technical numbers. Part of
+the text is wrapped, hyphenated, misread and interrupted by page lines, as in scans.
+
+About a sixth of the entries of every list (patterns, roles, verbs, labels, formats) is never used in training: `held_out`
+makes text from those alone, for figures on unseen wording. Gradients are written out by hand, summed over processes; the
+optimiser is Adam.
 """
 
 from __future__ import annotations
 
+import multiprocessing
 import random
 import re
 import sys
+import zlib
 
 import numpy as np
 
 from quillon.llm.pii import CHARS, KINDS, LABELS, encode
 
 MAX_FILLER = 3000
-HIDDEN, EMBED, LENGTH, BATCH = 40, 24, 128, 96
-
-FIRST = "James Mary Robert Linda Michael Susan David Karen Ahmed Fatima Wei Mei Carlos Lucia Ingrid Lars Yuki Hiro Ana Pedro Olga Ivan Chloe Luc Aoife Sean Priti Ravi Zanele Thabo Emma Noah Greta Otto Nadia Omar Elin Anders Sofia Marco".split()
-LAST = "Smith Johnson Brown Garcia Miller Davis Martinez Lopez Wilson Anderson Thomas Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Walker Hall Young Allen King Wright Scott Green Baker Nguyen Patel Kowalski Novak Schmidt Weber Rossi Ferrari Dubois Laurent Larsen Berg Tanaka Sato Okafor Mensah Haddad Rahman".split()
-ONSET = "b c d f g h j k l m n p qu r s t v w y z br ch cr dr fl gr hj kr lh pr rh sh sk st sz th tr vr wr zh".split()
-VOWEL = "a e i o u ae ai au ea ei ia ie io oa ou y".split()
-CODA = "l n r s t d m x ck ld ll lm mb nd ng nt rd rk rn rt ss st th tz v".split()
-PLACE_TAIL = "mere wood field stone moor haven ford ton ham dale bridge harrow sallow tarn fold koog port vale spring hollow wick by".split()
-STREET = "Street St. St Road Rd Rd. Avenue Ave Ave. Lane Ln Drive Dr. Court Ct Crescent Terrace Way Close Place Blvd Boulevard Square Rise Hill Row".split()
+HIDDEN, EMBED, LENGTH, BATCH = 48, 24, 128, 64
+
+FIRST = "James Mary Robert Linda Michael Susan David Karen Ahmed Fatima Wei Mei Carlos Lucia Ingrid Lars Yuki Hiro Ana Pedro Olga Ivan Chloe Luc Aoife Sean Priti Ravi Zanele Thabo Emma Noah Greta Otto Nadia Omar Elin Anders Sofia Marco Jonathan Elizabeth William Margaret Patrick Hannah Samuel Rachel Daniel Ruth".split()
+LAST = "Smith Johnson Brown Garcia Miller Davis Martinez Lopez Wilson Anderson Thomas Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Walker Hall Young Allen King Wright Scott Green Baker Nguyen Patel Kowalski Novak Schmidt Weber Rossi Ferrari Dubois Laurent Larsen Berg Tanaka Sato Okafor Mensah Haddad Rahman Fletcher Hughes Bennett Foster Russell Griffin Hayes".split()
+ONSET = "b c d f g h j k l m n p qu r s t v w y z br ch cr dr fl gr hj kr lh pr rh sh sk st sz th tr vr wr zh bl cl gl pl".split()
+VOWEL = "a e i o u a e i o ae ai au ea ee ei ia ie io oa oo ou y".split()
+CODA = "l n r s t d m x ck ld ll lm mb nd ng nt rd rk rn rt ss st th tz v ff sk".split()
+PLACE_TAIL = "mere wood field stone moor haven ford ton ham dale bridge harrow sallow tarn fold port vale spring hollow wick by worth bury mouth side view burgh ville land minster cliff".split()
+STREET = "Street St. St Road Rd Rd. Avenue Ave Ave. Lane Ln Drive Dr Court Ct Crescent Terrace Way Close Place Blvd Boulevard Square Rise Hill Row Parkway Gardens Grove Walk Circle Mews Quay Path Pike Trail".split()
 ABROAD = "straße strasse weg gasse platz allee".split()
-MAILS = "example.com example.org mail.example.net clinic.test records.invalid hospital.example ward3.example.com post.example lab.invalid unit.test".split()
 MONTHS = "January February March April May June July August September October November December".split()
-EPONYM = "Masson Ziehl Pancoast Kulchitsky Reed-Sternberg Giemsa Gram Gleason Hodgkin Horner Virchow Clara Congo Nissl Warthin Ewing Burkitt Langerhans Langhans Papanicolaou Romanowsky Kaplan-Meier Cushing Lambert-Eaton Wilms Paget Crohn Barrett".split()
-
-CARRIERS = {
-    "name": [
-        "Patient {} was seen in clinic.", "The patient {} attended with family.", "Dictated by {}.", "Reported by {}, consultant.", "Findings were phoned to Dr. {} at the time of frozen section.",
-        "Findings were discussed with Dr {}.", "The case was shown to Prof. {}, who agrees.", "According to Mr. {} the cough began in spring.", "According to Mrs. {} the pain is worse.",
-        "Requesting clinician: {}.", "Referring physician: {}", "Copy to: {}; {}.", "cc: {}; {}; {}.", "Next of kin {} was informed.", "The daughter, {}, attended the visit.", "The son, {}, gave consent.", "His wife {} was present.",
-        "Specimen received fresh and labelled {}.", "Consent was witnessed by Sister {}.", "Nurse {} assisted.", "Slides were reviewed together with {} on the same day.", "Signed: {}", "Verified by {} and {}.", "Pathologist: {}.",
-        "Ms {} called the ward.", "Name: {}.", "Seen by {} in March.", "The brother {} will drive.", "{} reports a cough.", "Interpreter {} was booked.", "Thank you for referring {} to us.",
-    ],
-    "phone": [
-        "Contact phone {}.", "Relatives left the number {}.", "Please call {} with questions.", "Tel. {} for the addendum.", "The ward can be reached at {} after hours.", "Phone: {}.", "Fax {}.", "Mobile {}.", "Ring {} to confirm.", "Telephone {} (office).", "reachable on {}.", "Call back on {} today.", "Bleep or {}.",
-    ],
-    "email": [
-        "Send the addendum to {}.", "Results were mailed to {} as requested.", "Reply by {} or in person.", "E-mail: {}.", "Email {} for images.", "Contact {} with queries.", "Write to {}.", "Forwarded to {} on Monday.",
-    ],
-    "id_number": [
-        "Identified by {L} {}.", "Verified against {L} {} on arrival.", "Billing used {L} {}.", "The container carries {L} {}.", "{L} {} was checked.", "Registered under {L} {}.", "{L}: {}.", "Wristband shows {L} {}.", "{L} {}",
-    ],
-    "address": [
-        "The patient lives at {}.", "Home address {}.", "Mail the block return to {}.", "Collected by courier from {}.", "Lives with family at {}.", "Address: {}.", "Discharged to {}.", "Moved to {} last year.", "Post the letter to {}.",
-    ],
-}
-ID_LABELS = [
-    "MRN", "MRN:", "MRN #", "SSN", "SSN:", "NHS number", "NHS no.", "passport", "passport no.", "insurance ID", "insurance no.", "member no.", "member ID", "hospital no.", "hospital number", "national ID", "national ID no.",
-    "medical record number", "medical record no.", "social security no.", "social security number", "driver's license", "driver's licence", "license no.", "patient ID", "health card", "policy no.",
-]
-PLAIN = [
-    "Block {A}{d} and block {A}{d} were submitted in cassettes.", "Accession S{d}{d}-{D5} was opened for this specimen.", "The morphology code is {D4}/3.", "Stain catalogue entry {D5} was used.", "The lot number of the fixative is {D3}-{D3}.",
-    "Lot {D6} expires in May.", "Compare with report {d}{d}-{D5} from the {P} Wing archive.", "Slides were scanned at {P} Pavilion on floor {d}.", "The biopsy was done in the {P} Building.", "Slides came from {P} General Hospital.", "Transferred from {P} Clinic.",
-    "The {P} Institute holds the blocks.", "{E} and {E} stains are negative.", "{E} stain shows no organisms.", "The {E} region is free of tumor.", "{E} cells are not seen.", "{E} type cells are present focally.", "{E} syndrome was excluded.", "{E} score is {d}.",
-    "Received on {d}/{d}{d}/20{d}{d} at 0{d}:{d}{d}.", "Received on {d}{d}.{d}.20{d}{d}.", "Please see page {d} of the referral letter for the sketch.", "Measurements are {d} x {d} x {d} cm in aggregate.", "Cassette {A}{d} was recut.", "Probe set {D6} was used.", "Antibody clone {A}{A}{D3} was used.",
-    "Specimen {A}{d}{d}-{D4} is a core biopsy.", "Room {d}{d}{d} was used.", "Serial number {D6} of the scanner was logged.", "SNOMED code {D6}{d}{d} applies.", "ICD-O {D4}/3 was assigned.", "Trial arm {A} was chosen.", "PD-L1 score was {d}{d} percent with clone 22C3.",
-]
-HEADINGS = ["DIAGNOSIS:", "COMMENT:", "CLINICAL HISTORY:", "GROSS DESCRIPTION:", "MICROSCOPIC DESCRIPTION:", "Specimen:", "Immunohistochemistry:", "FINDINGS:", "Impression:"]
-RUNNERS = ["SURGICAL PATHOLOGY REPORT", "Final Report   S{d}{d}-{D5}", "{P} Thoracic Institute", "{P} Hospital / Histology", "CONFIDENTIAL - LABORATORY COPY", "Department of Pathology - {P} Unit", "PATHOLOGY CONSULTATION (continued)"]
-PAGE = ["Page {d}", "- {d} -", "[{d}]", "Page {d} of {d}", "p. {d}/{d}", "{d}", "Pg {d} of {d}", "- Page {d} -"]
+
+PATIENTS = "Patient|Pt|Client|Resident|Inpatient|Outpatient|Volunteer|Donor|Visitor|Witness|Relative|Closest relative|Emergency relative|Kin|Legal guardian|Proxy|Health proxy|Wife|Husband|Daughter|Son|Mother|Father|Brother|Sister|Neighbour|Friend|Carer|Care partner|Student|Trainee|Bearer|Interpreter|Driver".split("|")
+LABELLED = "labelled|marked|tagged|identified as belonging to|in the name of|bearing the name|together with|along with|in agreement with|jointly with|shown again to|side by side with|on request of|at the wish of|belonging to|seconded by|assisted by|in consultation with|delivered for|signed over to|addressed to|sealed by".split("|")
+THINGS = "scanner|reagent|kit|antibody|buffer|cassette|slide tray|printer|freezer|probe|wax|coverslip batch|dye|instrument|form|microtome|device|pump|catheter|stent|port|implant|panel|plate|order|shipment|analyzer|control tissue|filter|software|bottle|request|camera".split("|")
+THING_NO = "lot number|batch number|serial number|catalogue number|order number|code|reference|model number|version|barcode|part number|tracking number|item number|product code|label|id|expiry code|inventory number|asset tag|revision|control number|stock number".split("|")
+ROLES = "surgeon|physician|pathologist|oncologist|radiologist|registrar|resident|fellow|consultant|specialist|practitioner|secretary|pharmacist|therapist|counsellor|chaplain|technician|technologist|coordinator|clerk|midwife|doctor|nurse|dietician|anaesthetist|cardiologist|pulmonologist|clinician|navigator|social worker|case manager|phlebotomist|paramedic".split("|")
+KIN = "mother|father|sister|brother|aunt|uncle|niece|nephew|cousin|husband|partner|spouse|stepson|granddaughter|grandson|neighbour|friend|guardian|carer|caregiver|landlady|fiancé|widow|twin|roommate|employer|daughter|son|wife".split("|")
+KIND_OF = "attending|on-call|senior|junior|covering|treating|supervising|duty|new|former|local|visiting|chief|family|primary|second|younger|elder|older|late|adopted|own|other|nearest".split("|")
+DONE_BY = "examined|interviewed|operated on|admitted|discharged|counselled|countersigned|transcribed|typed|authorised|electronically signed|prepared|grossed|screened|escorted|accompanied|driven home|consulted|seen|approved|edited|released|drafted|checked|entered|reviewed|referred|collected|handed over|booked|assessed|scheduled|annotated|received|photographed|written|read|explained|witnessed|requested|amended".split("|")
+SPOKE = "spoke with|met|talked to|conferred with|heard from|wrote to|called|e-mailed|asked|informed|reached|left word for|thanked|consulted|visited|telephoned|saw|notified|updated|reassured|advised|agreed with|waited for|paged".split("|")
+ABOUT = "about the scan|regarding the margins|on the ward|this morning|yesterday evening|before surgery|after the meeting|concerning treatment|twice|at the bedside|for consent|to arrange transport|and explained the plan|as planned|again|who agreed|face to face|during the round|over the weekend|at the door|by video|with an interpreter|at the front desk|last week|without delay".split("|")
+NAME_VERB = "attended|asks|states|denies|drove|signed|reported|returned|declined|agreed|prefers|wishes|will call|visited|noticed|remembers|smoked|works|lives alone|was told|was admitted|was sent on|has improved|is anxious|had no pain|took part|collected the letter|came with family|stopped smoking|presented with cough|tolerated the procedure".split("|")
+NAME_FIELD = "Attending|Surgeon|Author|Provider|Ordering MD|Submitted by|Emergency contact|Guardian|Spouse|Transcriptionist|Patient|Patient name|Name|Pt|Re|To|From|Attn|Operator|Assistant|Reviewer|Full name|Surname|Physician|Seen by|Clinician|Doctor|Witness|Signature|Contact|Resident|Reader|Electronically signed|Reported by|Checked by|Responsible consultant|Requested by|Dictated|Primary care|cc|Copies|Case discussed with|Clinical lead|Escort|Relative".split("|")
+TITLES = "Dr. |Dr |Mr. |Mr |Mrs. |Mrs |Ms. |Ms |Miss |Prof. |Professor |Doctor |Nurse |Sister |Sir ".split("|")
+DEGREES = ", MD|, M.D.|, PhD|, RN|, FRCPath|, DO|, MBBS| (attending)| (resident)|, MD, PhD|, consultant| (wife)| (son)".split("|")
+LINKS = "by |with |to |for |from |, |per |via |(|and |as |told ".split("|")
+PHONE_CUE = "Call|Ring|Dial|Phone|Tel|Tel.|Telephone|Mobile|Cell|Fax|Pager|Office|Home|Work|Direct line|Contact number|Landline|Extension line|Hotline|Switchboard|Reach us on|Text|Emergency number|Day phone|Evening phone|Desk|Clinic line|Phone no.|Voicemail|Reachable at|Messages to|Number|New number|Try the number|Gave the number|Best number is|Number on file|Another number is|Same number|Back line|WhatsApp|Bleep".split("|")
+MAIL_CUE = "E-mail|Email|Mail|Send to|Forward to|Write to|Contact|Address for replies|Reply to|Images to|Copies to|Questions to|Queries to|Inbox|Electronic mail|Account|cc|From|To|Reports go to|Reach|Inform|Message|Correspondence to".split("|")
+HOME_CUE = "is living at|resides at|residing at|moved to|home is|stays at|now at|of|address|Address|Home|Residence|Street address|Billing address|Postal address|deliver to|Ship to|send post to|discharged to|house at|flat at|found at|picked up from|visited at|returned to|Next delivery to|ambulance to|Old address|mail goes to|care home at|registered at".split("|")
+SUBJECTS = "The patient|She|He|The family|Our team|The ward|The office|The clinic|They|We|The laboratory|The carer|This person|The household|One relative|The receptionist|The courier|A friend".split("|")
+ID_CUE = "MRN|Medical record|Medical record number|Record no.|Chart|Chart no.|Chart number|Hospital number|Hospital no.|Patient ID|Patient no.|Pt ID|SSN|Social security|Social security number|NHS|NHS no.|National ID|National insurance|Insurance|Insurance ID|Insurance no.|Policy|Policy no.|Member|Member ID|Member no.|Passport|Passport no.|Passport number|Driver's licence|Driving licence|License no.|Health card|Health card no.|Beneficiary|Subscriber ID|Medicare|Medicaid ID|Tax ID|Identity card|ID card|Identification|Identity document|Permit|Permit no.|Certificate of insurance|Claim|Claim no.|Enrollee|Group policy|Plan ID|Coverage no.|Patient record|Patient file|File no.|Case file of the patient|Admission no.|Encounter|Visit no.|Registry ID|Residence permit|Military ID|Pension no.|Citizen number|Birth number|Benefit card|ID|ID no.|Account no.|Plan member|Identity number|Unit record|Registration no.|Personal number|Resident permit|Voter ID|Hosp. no.|URN|UMRN|Hospital ID|Wrist band".split("|")
+ID_NEAR = "checked against|recorded as|billed under|filed under|confirmed with|matched to|enrolled with|identified with|linked to|registered as|shown on the wristband as|stored with|found under|given as|quoted as|printed with|claims went to|presented|proved identity with|booked under|merged with".split("|")
+DECOY_CUE = "Specimen|Accession|Accession no.|Block|Lot|Lot no.|Batch|Slide|Cassette|Case|Case no.|Catalogue no.|Cat. no.|Code|Clone|Serial no.|Kit|Protocol|Trial|Probe|Antibody|Morphology code|Topography code|ICD-10|ICD-O|SNOMED|CPT|Reagent|Container|Section|Tube|Plate|Scanner|Stain|Barcode of the slide|Grant|Ref. report|Previous report|Archive box|Image series|Model|Version|DOI|PMID|Assay|Sample|Fixative batch|Stainer run|Instrument".split("|")
+DECOY_NEAR = "was recut|expires soon|was submitted|was stored|is on file|was compared|went into use|was assigned|was unsealed|has been scanned|was reviewed|was retrieved|failed quality control|was repeated|is attached|was logged|came from the archive|was decalcified|shows tumor|was exhausted|is pending".split("|")
+PLACES = "Hospital|Clinic|Institute|Wing|Pavilion|Building|Ward|Center|Centre|Tower|Laboratory|Medical Center|University|Hall|Unit|Campus|Library|Foundation|Trust|Infirmary|College|Department|Hospice|Pharmacy|School of Medicine|Cancer Center|Archive|Theatre".split("|")
+AT_PLACE = "Transferred to|Scanned at|Slides from|Seen at|The biopsy was done in|Held by|Sent to|Surgery took place at|Blocks are kept in|Outside review at|Admitted to|Referred from|Second opinion from|Located in|Trained at|The board met at|Stored in|Examined at".split("|")
+STAIN = "stain|cells|bodies|disease|syndrome|score|test|grade|type|region|classification|lymphoma|tumor|method|medium|criteria|reaction|staining|index|sign|ligament|method stain|technique|curve|nodes|tract|granules|capsule|duct|triangle|pouch|scale|stage|formula|procedure|catheter|needle|anomaly|fixative".split("|")
+STAIN_TAIL = "was negative|could not be shown|was ruled out|is positive|were present|shows no organisms|was repeated|remains low|was applied|are absent|fits best|is preserved|was considered|is pending|were counted|is uninvolved|was normal|were noted focally".split("|")
+UNITS = "mm|cm|mg|ml|percent|years|days|weeks|cycles|Gy|kg|mmHg|litres|nodes|slides|pm|hours|mg/m2|cores|sections|high power fields|packs|months|beats".split("|")
+MEASURED = "Measures|Arrived on|Time of collection|Weight|Dose|Reported at|Ratio|Dated|Page|Floor|Room|Level|Cycle|Grade|Bay|Channel|Score|Count|Volume|Level of Ki-67|Collected|Printed|Range|Taken on|Visit on".split("|")
+HEAD = "PATHOLOGY CONSULTATION CYTOLOGY HISTOLOGY RADIOLOGY ONCOLOGY SURGICAL DIAGNOSIS REPORT HISTORY SPECIMEN FINAL OPERATIVE NOTE DESCRIPTION COMMENT FINDINGS IMPRESSION SUMMARY RESULTS ADDENDUM PROCEDURE LABORATORY COPY CONSULT SECTION DEPARTMENT SERVICE CONFIDENTIAL PRELIMINARY AMENDED TUMOR MARGINS STAGING ANCILLARY STUDIES INTAKE DISCHARGE LETTER MOLECULAR CLINICAL MICROSCOPY GROSS IMAGING PLAN ASSESSMENT TREATMENT REVIEW THORACIC PULMONARY CONTINUED".split()
+PAGE = ["Page {d}", "- {d} -", "[{d}]", "Page {d} of {d}", "p. {d}/{d}", "{d}", "Pg {d} of {d}", "Sheet {d}", "{d} / {d}"]
 
 R = random.Random(7)
+#: Whether lists give their training entries or those held out.
+UNSEEN = False
+
+
+def pick(entries):
+    """One entry: of those used in training, or of the sixth or so that is held out (a list of few entries has none)."""
+    own = [e for e in entries if (zlib.crc32(e.encode()) % 6 == 2) == UNSEEN] if len(entries) > 10 else entries
+    return R.choice(own or entries)
 
 
 def digits(n: int) -> str:
     return "".join(R.choice("0123456789") for _ in range(n))
 
 
+def shaped(shape: str) -> str:
+    """# is a digit, A a capital letter; everything else stands for itself."""
+    return re.sub("[#A]", lambda m: digits(1) if m[0] == "#" else R.choice("ABCDEFGHJKLMNPQRSTUVWXYZ"), shape)
+
+
 def syllables(n: int) -> str:
     return "".join(R.choice(ONSET) + R.choice(VOWEL) + (R.choice(CODA) if R.random() < 0.5 else "") for _ in range(n)).capitalize()
 
 
 def first_name() -> str:
-    return R.choice(FIRST) if R.random() < 0.4 else syllables(R.choice((1, 2, 2, 3)))
+    return pick(FIRST) if R.random() < 0.4 else syllables(R.choice((1, 2, 2, 3)))
 
 
 def last_name() -> str:
     x = R.random()
     if x < 0.3:
-        return R.choice(LAST)
+        return pick(LAST)
     if x < 0.38:
         return f"{syllables(2)}-{syllables(R.choice((1, 2)))}"
     if x < 0.44:
         return R.choice(("O'", "Mc", "D'", "Mac")) + syllables(2)
     if x < 0.47:
-        return R.choice(("van ", "de ", "von ", "al-")) + syllables(2)
-    return syllables(R.choice((2, 2, 3))) + (R.choice(PLACE_TAIL) if R.random() < 0.15 else "")
+        return R.choice(("van ", "de ", "von ", "al-", "van der ", "da ")) + syllables(2)
+    if x < 0.52:
+        return pick(LAST) + R.choice("sn") if R.random() < 0.5 else pick(FIRST) + "son"
+    return syllables(R.choice((2, 2, 3))) + (R.choice(PLACE_TAIL) if R.random() < 0.25 else "")
 
 
 def name() -> str:
     f, m, s = first_name(), R.choice("ABCDEFGHJKLMNPRSTVW"), last_name()
-    x = R.random()
-    out = f"{f} {s}" if x < 0.5 else f"{f} {m}. {s}" if x < 0.6 else f"{m}. {s}" if x < 0.73 else f"{s}, {f}" if x < 0.88 else f"{s}, {f} {m}."
+    form = R.choices(("{f} {s}", "{f} {m}. {s}", "{m}. {s}", "{s}, {f}", "{s}, {f} {m}.", "{f} {m} {s}", "{m}.{n}. {s}", "{f}-{g} {s}", "{s} {m}."), (46, 11, 12, 14, 6, 3, 4, 3, 1))[0]
+    out = form.format(f=f, m=m, s=s, g=first_name(), n=R.choice("ABCDEFGHJKLMNPRSTVW"))
     return out.upper() if R.random() < 0.13 else out
 
 
+PHONES = "(###) ###-####|###-###-####|###.###.####|### ### ####|##########|+1 ### ### ####|+1-###-###-####|1-###-###-####|+1 (###) ###-####|07### ######|07### ### ###|+44 7### ######|+44 (0)#### ### ###|0#### ######|0### ### ####|+49 ## #######|+33 # ## ## ## ##|0## #### ####|(0##) #### ####|(0####) ######|+61 # #### ####|###/###-####|(###)###-####|+## ## ### ## ##|0##/#######|01### ######|## ## ## ## ##|1 ### ### ####|+353 ## ### ####|0## ### ## ##".split("|")
+IDS = "######|#######|########|#########|##########|A######|A#######|A########|A#########|AA######|AA#######|###-##-####|### ## ####|### ### ####|###-###-##|######-####A|AA-###-####|AA###-####-####|##-######|AA ## ## ## A|####-####-####|###-######|A##-#####|A-#######|####-###-###|##-##-####|AAA#######|########A|## ### ###|AAA-######|#AA#-AA#-AA##|##.###.###|A###-####-####|000######|00#######".split("|")
+DECOYS = "A#|A##|S##-#####|##-#####|####/#|#####|######|###-###|A##-####|AA#####|A#.#|##.#.####|##-AA-####|AA##-#####|####-##|######/##|#AA#|AA-###|####.##|A####|##A#####|########|S##-####|######-A|##:##|##/##/####|####-##-##|AAA#|#:###".split("|")
+
+
 def phone() -> str:
-    a, b, c = digits(3), "555", digits(4)
-    out = R.choice([
-        f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}{b}{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}",
-        f"07{digits(3)} {digits(6)}", f"07{digits(3)} {digits(3)} {digits(3)}", f"+44 7{digits(3)} {digits(6)}", f"+44 (0){digits(4)} {digits(3)} {digits(3)}", f"0{digits(4)} {digits(6)}", f"0{digits(3)} {digits(3)} {digits(4)}",
-        f"+49 {digits(2)} {digits(7)}", f"+33 {R.choice('12345')} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"{a}-{digits(3)}-{c}", f"({a}) {digits(3)}-{c}",
-    ])
-    return out + R.choice([f" x{digits(3)}", f" ext. {digits(3)}", f" ext {digits(4)}"]) if R.random() < 0.18 else out
+    out = shaped(pick(PHONES))
+    return out + shaped(R.choice([" x###", " ext. ###", " ext ####", ", ext. ####", " x ##", " extension ###"])) if R.random() < 0.18 else out
+
+
+def domain() -> str:
+    stem = R.choice([syllables(2), syllables(1) + pick(STAIN).split()[0], "mail." + syllables(2), syllables(2) + "-" + syllables(1), pick(PLACES).split()[0] + "." + syllables(2), syllables(3)]).lower()
+    return stem + R.choice((".com", ".org", ".net", ".edu", ".co.uk", ".de", ".info", ".health", ".gov", ".io", ".care"))
 
 
 def email() -> str:
     f, s = first_name().lower(), re.sub(r"[^a-z]", "", last_name().lower())
-    user = R.choice([f"{f}.{s}", f"{f[0]}{s}", f"{s}-{digits(2)}", f"{s}_{f}", f"{f}{digits(2)}", f"{f}.{s}+labs", f"{f}", f"{s}.{f}", f"{f}_{s}{digits(1)}"])
-    at = f"{user}@{R.choice(MAILS)}"
+    user = R.choice([f"{f}.{s}", f"{f[0]}{s}", f"{s}-{digits(2)}", f"{s}_{f}", f"{f}{digits(2)}", f"{f}.{s}+{syllables(1).lower()}", f"{f}", f"{s}.{f}", f"{f}_{s}{digits(1)}", f"{s}{digits(4)}", f"{f[0]}.{s}", pick(ROLES).split()[0] + digits(1)])
+    at, host = "@", domain()
     x = R.random()
-    if x < 0.15:
-        at = at.replace("@", " (at) ").replace(".", " (dot) ") if R.random() < 0.3 else f"{user} (at) {R.choice(MAILS).replace('.', ' (dot) ')}"
-    elif x < 0.2:
-        at = f"{user} [at] {R.choice(MAILS)}"
-    return at.upper() if R.random() < 0.12 else at
+    if x < 0.12:
+        at, host = " (at) ", host.replace(".", " (dot) ")
+    elif x < 0.18:
+        at = R.choice((" [at] ", " (at) ", "(at)", " at "))
+        host = host if at != " at " else host.replace(".", " dot ")
+    out = user + at + host
+    return out.upper() if R.random() < 0.12 else out
 
 
 def id_number() -> str:
-    cap = R.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
-    return R.choice([
-        digits(6), digits(7), digits(8), digits(8), cap + digits(6), cap + digits(7), cap + digits(8), cap + digits(9), cap + R.choice("ABKMQX") + digits(6), f"{digits(3)}-{digits(2)}-{digits(4)}", f"9{digits(2)} {digits(2)} {digits(4)}",
-        f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(2)}", f"{digits(6)}-{digits(4)}{cap}", f"{cap}X-{digits(3)}-{digits(4)}", f"{cap}{digits(3)}-{digits(4)}-{digits(4)}", f"{digits(2)}-{digits(6)}", f"{cap}{cap} {digits(2)} {digits(2)} {digits(2)} {cap}", f"{digits(4)}-{digits(4)}-{digits(4)}",
-    ])
+    return shaped(pick(IDS))
 
 
 def place() -> str:
     p = syllables(R.choice((1, 2))) + R.choice(PLACE_TAIL) if R.random() < 0.6 else syllables(2)
-    return R.choice(("Upper ", "Port ", "Cold ", "Old ", "North ", "St ")) + p if R.random() < 0.25 else p
+    return R.choice(("Upper ", "Port ", "Cold ", "Old ", "North ", "St ", "Lower ", "East ", "New ", "Little ")) + p if R.random() < 0.25 else p
 
 
 def address() -> str:
-    road = R.choice([place(), f"{place()}'s Rise", f"Old {syllables(1)}", syllables(2), last_name()])
+    road = R.choice([place(), f"{place()}'s {R.choice(('Rise', 'Gate', 'End'))}", f"Old {syllables(1)}", syllables(2), last_name(), pick(LAST), f"{R.randint(1, 30)}th", syllables(1) + " " + syllables(1)])
     if R.random() < 0.1:
         return f"{syllables(2)}{R.choice(ABROAD)} {R.randint(1, 99)}, {digits(5)} {place()}"
     unit = str(R.randint(1, 40))
-    head = R.choice([f"{R.randint(1, 1999)}", f"{R.randint(1, 1999)}", f"{R.randint(100, 1999)}-{unit}", f"{R.randint(1, 999)} {R.choice('NSEW')}.", f"Flat {unit}, {R.randint(1, 1900)}", f"Unit {unit}, {R.randint(1, 1900)}", f"Apt {unit}{R.choice('ABC')}, {R.randint(1, 900)}"])
-    line = f"{head} {road} {R.choice(STREET)}"
+    head = R.choice([f"{R.randint(1, 1999)}", f"{R.randint(1, 1999)}", f"{R.randint(1, 99)}", f"{R.randint(100, 1999)}-{unit}", f"{R.randint(1, 999)} {R.choice('NSEW')}.", f"{R.randint(1, 200)}{R.choice('ABab')}", f"Flat {unit}, {R.randint(1, 1900)}", f"Unit {unit}, {R.randint(1, 1900)}", f"Apt {unit}{R.choice('ABC')}, {R.randint(1, 900)}"])
+    line = f"{head} {road} {pick(STREET)}"
     if R.random() < 0.25 and not head.startswith(("Flat", "Unit", "Apt")):
-        line += R.choice([f", Unit {unit}", f", Apt {unit}B", f", Apt. {unit}", f" #{unit}"])
+        line += R.choice([f", Unit {unit}", f", Apt {unit}B", f", Apt. {unit}", f" #{unit}", f", Suite {digits(3)}", f", Flat {unit}"])
     x = R.random()
-    return line if x < 0.25 else f"{line}, {place()}" if x < 0.5 else f"{line}, {place()} {digits(5)}" if x < 0.75 else f"{line}, {place()}, {R.choice('ABCDEKLMNZ')}{R.choice('ACDEKLYZ')} {digits(5)}"
+    if x < 0.25:
+        return line
+    if x < 0.5:
+        return f"{line}, {place()}"
+    zipped = R.choice((shaped("#####"), shaped("#####"), shaped("AA# #AA"), shaped("A## #AA")))
+    return f"{line}, {place()} {zipped}" if x < 0.75 else f"{line}, {place()}, {R.choice('ABCDEKLMNZ')}{R.choice('ACDEKLYZ')} {zipped}"
 
 
 MAKE = {"name": name, "phone": phone, "email": email, "id_number": id_number, "address": address}
 
 
-def plain(template: str) -> str:
-    out = re.sub(r"\{D(\d)\}", lambda m: digits(int(m[1])), template)
-    out = re.sub(r"\{d\}", lambda m: digits(1), out)
-    out = re.sub(r"\{A\}", lambda m: R.choice("ABCDEFGHKS"), out)
-    out = re.sub(r"\{E\}", lambda m: R.choice(EPONYM) if R.random() < 0.7 else syllables(2), out)
-    return re.sub(r"\{P\}", lambda m: R.choice([place(), syllables(2), last_name()]), out)
-
-
-def carrier() -> tuple[str, list[int]]:
+def _person() -> list:
+    return [(pick(TITLES) if R.random() < 0.4 else "", None), (name(), 0), (pick(DEGREES) if R.random() < 0.15 else "", None)]
+
+
+def _who() -> str:
+    kind = pick(KIND_OF) + " " if R.random() < 0.5 else ""
+    return R.choice(("the ", "her ", "his ", "our ", "a ", "my ", "their ", "")) + kind + (pick(ROLES) if R.random() < 0.55 else pick(KIN))
+
+
+def _end() -> str:
+    return R.choice((".", ".", ".", "", ";", " and " + pick(DONE_BY) + ".", ", " + pick(ABOUT) + ".", " " + pick(ABOUT) + "."))
+
+
+def _cap(text: str) -> str:
+    return text[:1].upper() + text[1:]
+
+
+def name_parts() -> list:
+    x = R.randrange(11)
+    if x == 8:
+        return [(pick(PATIENTS) + " ", None), *_person(), (R.choice((" was ", " has been ", " had been ", " is to be ", " is being ")) + pick(DONE_BY) + R.choice(("", " " + pick(ABOUT))) + ".", None)]
+    if x == 9:
+        what = R.choice((pick(DECOY_CUE), pick(SUBJECTS), "The " + pick(THINGS), "Slides", "All material"))
+        return [(what + R.choice((" ", " was ", " were ", " arrived ")) + R.choice(("", pick(DONE_BY) + " ")) + pick(LABELLED) + " ", None), *_person(), (_end(), None)]
+    if x == 10:
+        return [(pick(PATIENTS) + R.choice((" ", ": ", ", ", " is ")), None), *_person(), (R.choice((", ", " of ", ", ", "; ", ",\n")), None), (address(), 4), (R.choice((".", ", " + pick(PHONE_CUE).lower() + " ", ", ")), None), *([(phone(), 1), (".", None)] if R.random() < 0.6 else [])]
+    if x == 0:
+        return [(_cap(_who()) + R.choice((" ", ", ", ": ", " is ", ", named ")), None), *_person(), (R.choice((", ", " ", " was there", " ")) + pick(ABOUT) + ".", None)]
+    if x == 1:
+        return [(R.choice((pick(SUBJECTS) + " was ", "", "Report ", "Case ", "Then ")) + pick(DONE_BY) + " by ", None), *_person(), (_end(), None)]
+    if x == 2:
+        return [(R.choice((pick(SUBJECTS), "I", "We")) + " " + pick(SPOKE) + R.choice((" ", " ", " " + _who() + " ", " " + _who() + ", ")), None), *_person(), (_end(), None)]
+    if x == 3:
+        return [*_person(), (" " + pick(NAME_VERB) + _end(), None)]
+    if x == 4:
+        return [(pick(NAME_FIELD) + R.choice((": ", ":", " ", " - ", ":\n", "  ")), None), *_person(), (R.choice(("", "", ".", "\n", "; ")), None)]
+    if x == 5:
+        parts = [(R.choice((pick(NAME_FIELD) + ": ", "With ", "Present: ", pick(DONE_BY).capitalize() + " by ", "")), None)]
+        for k in range(R.choice((2, 3))):
+            parts += [(R.choice(("; ", " and ", " / ", "; ")) if k else "", None), *_person()]
+        return [*parts, (R.choice((".", "", "\n")), None)]
+    if x == 6:
+        return [(R.choice(("Thanks to ", "According to ", "Signed ", "On behalf of ", "Letter to ", "Discussed with ", "Care of ", "Under ", "History from ", "Dear ", "Also present was ", "In the presence of ", "No objection from ")), None), *_person(), (_end(), None)]
+    return [("", None), *_person(), (R.choice(DEGREES) + R.choice(("\n", ".", "")), None)]
+
+
+def cued_parts(kind: str) -> list:
+    item = MAKE[kind]()
+    k = KINDS.index(kind)
+    if kind == "id_number":
+        # A label that nothing is known about counts as a person's: better one placeholder too many than a number left in.
+        cue = pick(ID_CUE) if R.random() < 0.82 or UNSEEN else syllables(R.choice((1, 2))) + R.choice((" no.", " ID", " number", "", " card", " document", " permit"))
+        cue = cue.lower() if R.random() < 0.25 and not cue.isupper() else cue
+        x = R.random()
+        sep = R.choice((" ", ": ", " # ", " #", ":", ", ", " is ", " = ", " was "))
+        if x < 0.45:
+            return [(R.choice((pick(SUBJECTS) + " was " + pick(ID_NEAR) + " ", "The " , _cap(pick(ID_NEAR)) + " ", "Her ", "His ", "With ", "Used ")) + cue + sep, None), (item, k), (_end(), None)]
+        return [(cue + sep, None), (item, k), (R.choice(("", ".", "\n", "; ", ", ", " " + pick(ABOUT) + ".")), None)]
+    if kind == "address":
+        cue = pick(HOME_CUE)
+        who = R.choice((pick(SUBJECTS) + " ", _cap(_who()) + " ", "")) if cue[0].islower() else ""
+        return [(who + cue + R.choice((" ", " ", ": ")), None), (item, k), (_end(), None)]
+    cue = pick(PHONE_CUE if kind == "phone" else MAIL_CUE)
+    x = R.random()
+    if x < 0.55:
+        return [(R.choice(("", "", _cap(_who()) + ", ", "Please ")) + cue + R.choice((" ", ": ", ":", " (", " at ", " on ", " - ")), None), (item, k), (_end(), None)]
+    if x < 0.8:
+        return [(R.choice((pick(SUBJECTS), _cap(_who()))) + " " + pick(SPOKE).split()[0] + " " + R.choice(("on ", "at ", "from ", "via ", "using ", "through ", "gave ", "left ")), None), (item, k), (_end(), None)]
+    return [(pick(ABOUT).capitalize() + R.choice((": ", ", ", " - ", " ")), None), (item, k), (R.choice((" ", ", ")) + pick(ABOUT) + ".", None)]
+
+
+def within(filler: list[str]) -> list:
+    """An item amid a sentence of the filler."""
+    words = R.choice(filler).split(" ")
+    at = R.randint(1, len(words))
+    kind = R.choices(KINDS, (5, 2, 2, 2, 2))[0]
+    before, after = " ".join(words[:at]), " ".join(words[at:])
+    if kind == "name":
+        return [(before + R.choice((" ", ", ")) + R.choice(LINKS).lstrip(",(") , None), *_person(), (" " + after, None)]
+    cue = {"phone": PHONE_CUE, "email": MAIL_CUE, "id_number": ID_CUE, "address": HOME_CUE}[kind]
+    return [(before + R.choice((" (", ", ", " ", ". ")) + pick(cue) + R.choice((" ", ": ")), None), (MAKE[kind](), KINDS.index(kind)), (R.choice((") ", ", ", " ", ". ")) + after, None)]
+
+
+def carrier(filler: list[str]) -> tuple[str, list[int]]:
     """A sentence with its labels."""
-    if R.random() < 0.08:  # several kinds in one
-        parts = [("Next of kin ", None), (name(), 0), (", ", None), (address(), 4), (R.choice((", reachable on ", ", tel. ", ", ")), None), (phone(), 1), (".", None)]
+    x = R.random()
+    if x < 0.1:  # several kinds in one
+        parts = [(R.choice((_cap(_who()) + " ", pick(NAME_FIELD) + ": ", "")), None), *_person()]
+        for kind in R.sample(KINDS[1:], R.choice((1, 2, 3))):
+            cue = {"phone": PHONE_CUE, "email": MAIL_CUE, "id_number": ID_CUE, "address": HOME_CUE}[kind]
+            parts += [(R.choice((", ", "; ", " - ", ", ", "\n", " (")) + (pick(cue).lower() + R.choice((" ", ": ")) if R.random() < 0.6 or kind == "id_number" else ""), None), (MAKE[kind](), KINDS.index(kind))]
+        parts.append((R.choice((".", "", ")", "\n")), None))
+    elif x < 0.3:
+        parts = within(filler)
     else:
-        kind = R.choice(("name", "name", "name", "phone", "email", "id_number", "id_number", "address", "address"))
-        template = R.choice(CARRIERS[kind])
-        label = R.choice(ID_LABELS)
-        if template.startswith("{L}"):
-            label = label[0].upper() + label[1:]
-        pieces = template.replace("{L}", label).split("{}")
-        parts = [(pieces[0], None)]
-        for piece in pieces[1:]:
-            parts += [(MAKE[kind](), KINDS.index(kind)), (piece, None)]
+        kind = R.choices(KINDS, (38, 12, 10, 22, 18))[0]
+        parts = name_parts() if kind == "name" else cued_parts(kind)
     text, labels = "", []
     for part, k in parts:
-        if text.endswith(".") and part == ".":
+        if text.endswith(".") and part.startswith("."):
+            part = part[1:]
+        if not part:
             continue
         text += part
         labels += [0] * len(part) if k is None else [2 * k + 1] + [2 * k + 2] * (len(part) - 1)
     return text, labels
 
 
+def person_like() -> str:
+    return R.choice((place(), syllables(2), last_name(), pick(LAST), f"{syllables(2)}-{syllables(2)}", syllables(3)))
+
+
+def plain(filler: list[str]) -> str:
+    """A sentence without personal data that looks as if it had some."""
+    x = R.randrange(11)
+    if x in (0, 9):
+        both = R.choice(("", "", "", "-" + person_like(), " " + person_like(), "'s", " and " + person_like()))
+        return f"{R.choice(('', '', 'The ', 'A ', 'No '))}{person_like()}{both} {R.choice(('', '', 'type ', 'positive ', 'like '))}{pick(STAIN)} {pick(STAIN_TAIL)}."
+    if x == 10:
+        return f"{R.choice(('The ', '', 'This '))}{pick(THING_NO)} of the {pick(THINGS)} {R.choice(('is', 'was', 'reads', ':', 'remains'))} {shaped(pick(DECOYS + IDS))}{R.choice(('.', '', ' and ' + pick(DECOY_NEAR) + '.'))}"
+    if x == 1:
+        return f"{pick(AT_PLACE)} {R.choice(('the ', ''))}{person_like()} {R.choice(('', 'General ', 'Memorial ', 'Thoracic ', 'Regional '))}{pick(PLACES)}{R.choice(('', ', floor ' + digits(1), ', room ' + digits(3), ' ' + digits(1)))}."
+    if x in (2, 3):
+        cue = pick(DECOY_CUE)
+        near = R.choice((" " + pick(DECOY_NEAR) + ".", ".", ";", "", ", " + pick(ABOUT) + "."))
+        return R.choice(("", "The ", "Compare with ")) + R.choice((cue, cue.lower())) + R.choice((" ", ": ", " # ", " of the ", " ")).replace(" of the ", " " + pick(STAIN) + " ") + shaped(pick(DECOYS)) + near
+    if x == 4:
+        return f"{pick(MEASURED)} {shaped(R.choice(('#', '##', '#.#', '## x ##', '# x # x #', '##-##', '####', '##/##', '##:##', '##/##/20##', '20##-##-##', '##.##.20##', '#:###')))} {R.choice((pick(UNITS), ''))}{R.choice(('.', '', ', '))}"
+    if x == 5:
+        words = [R.choice(HEAD) for _ in range(R.choice((1, 2, 2, 3, 4)))]
+        text = " ".join(words)
+        return (text if R.random() < 0.6 else text.title()) + R.choice((":", "\n", " ", "\n\n", ": "))
+    if x == 6:
+        text = R.choice(filler)
+        return text.upper() if R.random() < 0.5 else text.title() if R.random() < 0.5 else " ".join(w.capitalize() if R.random() < 0.2 else w for w in text.split(" "))
+    if x == 7:
+        return f"{_cap(_who())} {R.choice((pick(SPOKE), pick(NAME_VERB), 'was ' + pick(DONE_BY)))} {pick(ABOUT)}."
+    if R.random() < 0.4:
+        words = R.choice(filler).split(" ")
+        at = R.randint(1, len(words))
+        return " ".join([*words[:at], R.choice(("on", "since", "from", "dated", "until")), f"{R.randint(1, 31)} {pick(MONTHS)} {R.choice(('19', '20'))}{digits(2)}", *words[at:]])
+    return R.choice((f"{pick(SUBJECTS)} {pick(SPOKE)} {_who()} in {pick(MONTHS)}.", f"{pick(MONTHS)} {R.randint(1, 31)}, 20{digits(2)}: {R.choice(filler)}", f"Comparison: {place()} series of {pick(MONTHS)}."))
+
+
+def number(template: str) -> str:
+    return re.sub(r"\{d\}", lambda m: digits(1), template)
+
+
+def runner() -> str:
+    x = R.random()
+    text = " ".join(R.choice(HEAD) for _ in range(R.choice((2, 3)))) if x < 0.5 else f"{person_like()} {pick(PLACES)} {R.choice(('', '/ ', '- '))}{R.choice(HEAD).title()}"
+    text = text + R.choice((" (continued)", " (cont.)", " - CONT.", "")) if R.random() < 0.3 else text
+    return text + ("   " + shaped(pick(DECOYS)) if R.random() < 0.2 else "")
+
+
 def scan(text: str, labels: list[int]) -> tuple[str, list[int]]:
     """Wrapped like a page; labels follow. Page lines inside a span belong to it."""
     width, crlf, mark = R.randint(45, 90), R.random() < 0.2, R.choice("--‐¬\xad")
@@ -207,9 +354,9 @@ def scan(text: str, labels: list[int]) -> tuple[str, list[int]]:
                 lab += own[:room] + [own[room - 1] and (own[room] or 0)]
                 word, own, inside = word[room:], own[room:], own[room]
             end = ("\r\n" if crlf else "\n") + (R.choice((" ", "")) if R.random() < 0.05 else "")
-            if R.random() < 0.06:
-                head = plain(R.choice(PAGE)) + "\n" if R.random() < 0.6 else ""
-                end += head + plain(R.choice(RUNNERS)) + ("   " + plain(R.choice(PAGE)) if R.random() < 0.4 else "") + "\n"
+            if R.random() < 0.09:
+                head = number(R.choice(PAGE)) + "\n" if R.random() < 0.6 else ""
+                end += head + runner() + ("   " + number(R.choice(PAGE)) if R.random() < 0.4 else "") + "\n"
                 end = end.upper() if R.random() < 0.2 else end
             out.append(end)
             lab += [inside + (inside % 2) if inside else 0] * len(end)
@@ -229,15 +376,9 @@ def sample(filler: list[str]) -> tuple[str, list[int]]:
     for _ in range(R.randint(4, 9)):
         x = R.random()
         if x < 0.42:
-            t, own = carrier()
-        elif x < 0.60:
-            t = plain(R.choice(PLAIN))
-            own = [0] * len(t)
-        elif x < 0.66:
-            t = R.choice(HEADINGS) + R.choice(("\n", "\n\n", " "))
-            own = [0] * len(t)
+            t, own = carrier(filler)
         else:
-            t = R.choice(filler)
+            t = plain(filler) if x < 0.68 else R.choice(filler)
             own = [0] * len(t)
         gap = " " if R.random() < 0.85 else R.choice(("\n", "\n\n"))
         text += t + gap
@@ -245,6 +386,32 @@ def sample(filler: list[str]) -> tuple[str, list[int]]:
     return scan(text, labels) if R.random() < 0.65 else (text, labels)
 
 
+def held_out(filler: list[str], n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts of unseen patterns, words and formats, with their items (start, end, kind)."""
+    global UNSEEN
+    UNSEEN = True
+    R.seed(seed)
+    try:
+        out = []
+        for _ in range(n):
+            text, labels = "", []
+            for _ in range(6):
+                t, own = carrier(filler) if R.random() < 0.6 else (plain(filler), None)
+                text += t + " "
+                labels += (own or [0] * len(t)) + [0]
+            begins = [k for k, v in enumerate(labels) if v % 2]
+            spans = []
+            for k in begins:
+                end = k + 1
+                while end < len(labels) and labels[end] == labels[k] + 1:
+                    end += 1
+                spans.append((k, end, KINDS[labels[k] // 2]))
+            out.append((text, spans))
+        return out
+    finally:
+        UNSEEN = False
+
+
 def batch(filler: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.full((size, LENGTH), 95, dtype=np.int16), np.zeros((size, LENGTH), dtype=np.int8)
     for k in range(size):
@@ -341,7 +508,14 @@ def loss_and_grads(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, bad:
     return loss, grads
 
 
-def train(filler: list[str], steps: int, rate: float = 6e-3, out: str | None = None) -> dict[str, np.ndarray]:
+def _work(pipe, filler: list[str], seed: int) -> None:
+    R.seed(seed)
+    bad = allowed()
+    while (p := pipe.recv()) is not None:
+        pipe.send(loss_and_grads(p, *batch(filler, BATCH), bad))
+
+
+def train(filler: list[str], steps: int, rate: float = 6e-3, out: str | None = None, processes: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(3)
     make = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
     p = {
@@ -349,11 +523,20 @@ def train(filler: list[str], steps: int, rate: float = 6e-3, out: str | None = N
         "wo": make(2, HIDDEN, LABELS), "bo": np.zeros(LABELS, np.float32), "trans": np.zeros((LABELS, LABELS), np.float32), "start": np.zeros(LABELS, np.float32),
     }
     p["b"][:, HIDDEN : 2 * HIDDEN] = 1.0
-    bad = allowed()
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     mean = {k: x.copy() for k, x in p.items()}
+    pipes, workers = [], []
+    for k in range(processes):
+        own, other = multiprocessing.Pipe()
+        workers.append(multiprocessing.Process(target=_work, args=(other, filler, 100 + k), daemon=True))
+        workers[-1].start()
+        pipes.append(own)
     for step in range(1, steps + 1):
-        loss, grads = loss_and_grads(p, *batch(filler, BATCH), bad)
+        for pipe in pipes:
+            pipe.send(p)
+        got = [pipe.recv() for pipe in pipes]
+        loss = sum(x for x, _ in got) / processes
+        grads = {k: sum(g[k] for _, g in got) / processes for k in p}
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, 5.0 / (norm + 1e-9))
         now = rate * min(1.0, step / 50) * (0.5 * (1 + np.cos(np.pi * step / steps)) + 0.02)
@@ -365,8 +548,10 @@ def train(filler: list[str], steps: int, rate: float = 6e-3, out: str | None = N
             mean[k] += (p[k] - mean[k]) * 0.02
         if step % 50 == 0:
             print(step, round(loss, 4), flush=True)
-        if out and step % 500 == 0:
+        if out and step % 200 == 0:
             save(mean, out)
+    for pipe in pipes:
+        pipe.send(None)
     return mean
 
 
@@ -375,12 +560,16 @@ def save(p: dict[str, np.ndarray], out: str) -> None:
     np.savez_compressed(out, table=table.astype(np.float16), wh=p["wh"].astype(np.float16), wo=p["wo"].astype(np.float16), bo=p["bo"], trans=p["trans"] + allowed(), start=p["start"])
 
 
-def main() -> None:
+def filler_of(path: str) -> list[str]:
     import pyarrow.parquet as pq
 
-    rows = pq.read_table(sys.argv[1], columns=["text", "lang"]).slice(0, MAX_FILLER).to_pylist()
-    filler = [s for r in rows if r["text"] and r["lang"] == "en" for s in re.split(r"(?<=[.])\s+", r["text"]) if 20 < len(s) < 260]
-    save(train(filler, int(sys.argv[3]) if len(sys.argv) > 3 else 4000, out=sys.argv[2]), sys.argv[2])
+    rows = pq.read_table(path, columns=["text", "lang"]).slice(0, MAX_FILLER).to_pylist()
+    return [s for r in rows if r["text"] and r["lang"] == "en" for s in re.split(r"(?<=[.])\s+", r["text"]) if 20 < len(s) < 260]
+
+
+def main() -> None:
+    steps, processes = (int(x) for x in (sys.argv[3:] + ["1500", "8"][len(sys.argv) - 3 :]))
+    save(train(filler_of(sys.argv[1]), steps, out=sys.argv[2], processes=processes), sys.argv[2])
 
 
 if __name__ == "__main__":
