@@ -105,7 +105,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_classes": p4_classes, "p10_found": p10_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_ids": p8_ids, "p9_found": p9_found}
 
 _SQL_GRAMS = r"select distinct {id}, array_to_string(w[i:i+11],' ') g from (select {id}, w, unnest(range(1, len(w)-10)) i from (select {id}, regexp_extract_all(lower({text}),'[\p{{L}}\p{{N}}]+') w from {table}) where len(w)>=12)"
+_SQL_RUNS = "select 'master_results' tbl, run_id, raw_output txt from master_results union all select 'train_split', run_id, free_text from train_split"
+#: All pairs by the definition: similarity of the sets of three-word sequences, texts of the same words included.
+_SQL_NEAR = f"""with r as (select distinct * from ({_SQL_RUNS}) where run_id is not null and txt is not null),
+ d as (select tbl, txt, regexp_extract_all(lower(txt), '[a-z0-9]+') w, row_number() over () id from (select distinct tbl, txt from r)),
+ g as (select distinct id, tbl, w[i]||' '||w[i+1]||' '||w[i+2] s from (select id, tbl, w, unnest(range(1, len(w)-1)) i from d where len(w) >= 20)),
+ n as (select id, count(*) n from g group by id),
+ x as (select a.id a, b.id b, count(*) x from g a join g b on a.s = b.s and a.tbl = b.tbl and a.id <= b.id group by all),
+ l as (select a, b from x join n na on na.id = a join n nb on nb.id = b where 2*x >= na.n + nb.n - x),
+ m as (select id, d.tbl, run_id from d join r using (tbl, txt))
+ select distinct p.tbl, least(p.run_id, q.run_id) run_a, greatest(p.run_id, q.run_id) run_b from l join m p on p.id = a join m q on q.id = b where p.run_id <> q.run_id"""
 ORACLES: dict[str, str] = {
+    "p4_found": _SQL_NEAR,
     "p9_found": f"with d as ({_SQL_GRAMS.format(id='doc_id', text='text', table='documents')}), t as ({_SQL_GRAMS.format(id='item_id', text='free_text', table='heldout_eval')}) select distinct doc_id, item_id from d join t using (g)",
 }
 

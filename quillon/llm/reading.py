@@ -215,10 +215,13 @@ def grade(
         own = Features(cells.value)
         for batch in batches:
             got = [(b, own.of(t)) for b, t in zip(batch["band"], batch["text"])]
-            yield pd.DataFrame([(b, f[0].ravel().tolist(), f[1].tolist()) for b, f in got if f], columns=["band", "x", "letters"])
+            yield pd.DataFrame([(b, np.asarray(f[0], dtype=np.float64).tobytes(), np.asarray(f[1], dtype=np.float64).tobytes()) for b, f in got if f], columns=["band", "x", "letters"])
 
-    sample = graded.join(rows, "doc_id").select("band", "text").mapInPandas(features, "band double, x array<double>, letters array<double>").collect()
-    parts = [(np.array(r["x"]).reshape(len(r["letters"]), -1), np.array(r["letters"])) for r in sample]
+    sample = graded.join(rows, "doc_id").select("band", "text").mapInPandas(features, "band double, x binary, letters binary").toPandas().to_dict("records")
+    parts = []
+    for r in sample:
+        x, letters = (np.frombuffer(r[c], dtype=np.float64) for c in ("x", "letters"))
+        parts.append((x.reshape(len(letters), -1), letters))
     # A mean between two bands says that one grader was off; such documents count half at the lower and half at the upper one.
     grades = [(k, b, 1 / len(both)) for k, r in enumerate(sample) for both in [sorted({math.floor(r["band"]), math.ceil(r["band"])})] for b in both]
     model = fit_sentences([parts[k] for k, _, _ in grades], np.array([b for _, b, _ in grades], dtype=int), np.array([w for _, _, w in grades])) if parts else None
