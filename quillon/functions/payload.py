@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,23 +23,33 @@ def _finite(value):
     return value
 
 
-def balanced_objects(text: str) -> list[str]:
-    """Top-level brace groups in order. Quotes count everywhere, so a stray one hides the braces up to its partner."""
-    found, depth, start, quoted, k = [], 0, 0, False, 0
-    while k < len(text):
-        c = text[k]
-        if quoted and c == "\\":
-            k += 1
-        elif c == '"':
+#: What decides about nesting: a backslash with the character it escapes (inside and outside quotes), quotes and braces.
+_MARKS = re.compile(r'\\.|["{}]', re.S)
+
+
+def _braces(text: str) -> Iterator[tuple[int, int]]:
+    """(place, step) of the braces outside quotes, 1 for an opening and -1 for a closing one. Quotes count everywhere, so a
+    stray one hides the braces up to its partner."""
+    quoted = False
+    for m in _MARKS.finditer(text):
+        mark = m.group()
+        if mark == '"':
             quoted = not quoted
-        elif not quoted and c == "{":
+        elif not quoted and len(mark) == 1:
+            yield m.start(), 1 if mark == "{" else -1
+
+
+def balanced_objects(text: str) -> list[str]:
+    """Top-level brace groups in order; closing braces without an opening one are passed over."""
+    found, depth, start = [], 0, 0
+    for k, step in _braces(text):
+        if step > 0:
             start = k if depth == 0 else start
             depth += 1
-        elif not quoted and c == "}" and depth:
+        elif depth:
             depth -= 1
             if depth == 0:
                 found.append(text[start : k + 1])
-        k += 1
     return found
 
 
@@ -69,20 +81,14 @@ def canonical_json(raw: pd.Series) -> pd.Series:
 
 
 def _first_close(text) -> str | None:
-    depth, seen, quoted, escaped = 0, False, False, False
-    for k, c in enumerate(text or ""):
-        if escaped:
-            escaped = False
-        elif quoted and c == "\\":
-            escaped = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c == "{":
-            depth, seen = depth + 1, True
-        elif not quoted and c == "}":
-            depth -= 1
-            if seen and depth <= 0:
-                return text[: k + 1]
+    """Up to where a close that leaves nothing open, a stray one included, and an opening brace have both been seen."""
+    if not isinstance(text, str) or "{" not in text:
+        return None
+    depth = 0
+    for k, step in _braces(text):
+        depth += step
+        if step < 0 and depth <= 0:
+            return text[: max(k, text.index("{")) + 1]
     return None
 
 

@@ -72,6 +72,14 @@ def density_summary(df: DataFrame, keys: list[str], hits: Column, words: Column)
     )
 
 
+def density_by(df: DataFrame, flag: str, density: str) -> DataFrame:
+    """Mean, median and number of densities by a flag; null counts as false, a table without the flag gives no rows."""
+    if flag not in df.columns:
+        return df.sparkSession.createDataFrame([], "flag boolean, mean double, median double, n long")
+    rows = df.groupBy(F.coalesce(F.col(flag), F.lit(False)).alias("flag"))
+    return rows.agg(F.round(F.avg(density), 6).alias("mean"), F.round(F.median(density), 6).alias("median"), F.count("*").alias("n"))
+
+
 def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
     return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).na.fill(0)
 

@@ -45,7 +45,7 @@ def _beta_i(a: float, b: float, x: float) -> float:
         return 1 - _beta_i(b, a, 1 - x)
     c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 500 + 10 * math.isqrt(int(a + b))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + num * d)
             c = 1 + num / c
@@ -110,6 +110,20 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     return F.when(n > 0, F.greatest(centre - half, F.lit(0.0))), F.when(n > 0, F.least(centre + half, F.lit(1.0)))
 
 
+def _binomial_quantile(n: int, p: float, q: float) -> int:
+    """The smallest k with P(X <= k) >= q, found by halving: the sum of the first terms is an incomplete beta function."""
+    if p <= 0 or p >= 1:
+        return n if p >= 1 else 0
+    low, high = 0, n
+    while low < high:
+        k = (low + high) // 2
+        if _beta_i(n - k, k + 1, 1 - p) >= q:
+            high = k
+        else:
+            low = k + 1
+    return low
+
+
 @F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def bootstrap_ci(successes: pd.Series, n: pd.Series) -> pd.DataFrame:
     """95 % percentile bootstrap interval of an accuracy. Resampled accuracies are binomial, so the limit of the resampling is
@@ -119,14 +133,7 @@ def bootstrap_ci(successes: pd.Series, n: pd.Series) -> pd.DataFrame:
         if not size:
             rows.append((None, None))
             continue
-        p, total, low, high = s / size, 0.0, None, None
-        for k in range(int(size) + 1):
-            log = math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1)
-            log += (k * math.log(p) if p > 0 else (0.0 if k == 0 else -math.inf)) + ((size - k) * math.log(1 - p) if p < 1 else (0.0 if k == size else -math.inf))
-            total += math.exp(log) if log > -745 else 0.0
-            low = k / size if low is None and total >= 0.025 else low
-            high = k / size if high is None and total >= 0.975 else high
-        rows.append((low, 1.0 if high is None else high))
+        rows.append(tuple(_binomial_quantile(int(size), s / size, q) / size for q in (0.025, 0.975)))
     return pd.DataFrame(rows, columns=["low", "high"])
 
 

@@ -1,7 +1,7 @@
 """Exact nearest neighbours by blocked matrix products.
 
-Queries are sent to the workers in blocks of bounded size; every corpus batch is scored against a block by one matrix
-product and keeps its k best per query, so what is shuffled is k rows per query and batch, never all pairs.
+Few queries are sent to the workers, many are shuffled in blocks of bounded size; every corpus batch or block is scored against
+a block of queries by one matrix product and keeps its k best per query, so all pairs are never written.
 """
 
 from __future__ import annotations
@@ -27,45 +27,54 @@ def _matrix(column) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, corpus: np.ndarray, k: int, skip_same_id: bool) -> pd.DataFrame:
+    """The k best of a corpus block for each query, with everything that ties with the k-th, for the rule on ties."""
+    sim = q @ corpus.T
+    if skip_same_id:
+        sim[ids[:, None] == own[None, :]] = -2.0
+    keep = min(k, sim.shape[1])
+    if keep < sim.shape[1]:
+        bar = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1]
+        r, c = np.nonzero(sim >= bar[:, None] - 1e-12)
+    else:
+        r, c = np.nonzero(sim > -1.5)
+    out = pd.DataFrame({"query_id": ids[r], "vec_id": own[c], "similarity": sim[r, c]})
+    return out[out["similarity"] > -1.5]
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, block: int = 20_000, skip_same_id: bool = False, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k most similar rows of the corpus for each query, ties by id. Null vectors are left out on both sides.
 
-    Blocks of `block` queries bound what is sent at a time; the corpus is scanned once per block."""
+    Up to `block` queries are sent to the workers and the corpus is scanned once. More are compared block against block: both
+    sides are shuffled in blocks of about `block` rows, each pair of blocks is one task, and no vector passes through the driver."""
     spark = corpus.sparkSession
     rows = corpus.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    n_blocks = max(1, -(-asked.count() // block))
-    parts = []
-    for b in range(n_blocks):
-        got = (asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)).toPandas()
+    many = asked.count()
+    if many <= block:
+        got = asked.toPandas()
         if not len(got):
-            continue
+            return spark.createDataFrame([], OUT + ", rank int")
         sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), _matrix(got["v"])))
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                own = batch["vec_id"].to_numpy()
-                sim = q @ _matrix(batch["v"]).T
-                if skip_same_id:
-                    sim[ids[:, None] == own[None, :]] = -2.0
-                keep = min(k, sim.shape[1])
-                if keep < sim.shape[1]:  # everything that ties with the k-th best is kept for the tie rule
-                    bar = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1]
-                    r, c = np.nonzero(sim >= bar[:, None] - 1e-12)
-                else:
-                    r, c = np.nonzero(sim > -1.5)
-                out = pd.DataFrame({"query_id": ids[r], "vec_id": own[c], "similarity": sim[r, c]})
-                yield out[out["similarity"] > -1.5]
-
-        parts.append(rows.mapInPandas(run, OUT))
-    if not parts:
-        return spark.createDataFrame([], OUT + ", rank int")
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+                if len(batch):
+                    yield _best(*sent.value, batch["vec_id"].to_numpy(), _matrix(batch["v"]), k, skip_same_id)
+
+        both = rows.mapInPandas(run, OUT)
+    else:
+        left, right = -(-many // block), max(1, -(-rows.count() // block))
+        own = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        ask, held = asked.select("*", own(left, "a"), every(right, "b")), rows.select("*", own(right, "b"), every(left, "a"))
+
+        def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(c):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return _best(q["vec_id"].to_numpy(), _matrix(q["v"]), c["vec_id"].to_numpy(), _matrix(c["v"]), k, skip_same_id)
+
+        both = ask.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInPandas(pair, OUT)
     best = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "vec_id")
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

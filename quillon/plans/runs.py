@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.labels import cell, completion, stage_group
+from quillon.functions.labels import STAGE_RULE, cell, completion, stage_group
 
 SEXES, AGES = ("male", "female"), (45, 80)
 HISTOLOGIES = ("adenocarcinoma", "squamous cell carcinoma", "large cell carcinoma", "small cell carcinoma")
@@ -48,9 +48,14 @@ def one_factor_at_a_time(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *s.values()) for k, s in enumerate(settings)], "idx int, max_length int, temperature double, top_p double, top_k int, do_sample boolean")
 
 
+def hashed(*parts: Column) -> Column:
+    """A number under 2**28 that the parts fix, in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 7), 16, 10).cast("long")
+
+
 def choice(key: Column, salt: str, values: tuple) -> Column:
     """One of the values, fixed by the key."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (hashed(key, F.lit(salt)) % len(values) + 1).cast("int"))
 
 
 def phrase(label: Column, texts: dict[str, str]) -> Column:
@@ -59,7 +64,7 @@ def phrase(label: Column, texts: dict[str, str]) -> Column:
 
 def case_text(key: Column, t: Column, n: Column, m: Column) -> Column:
     """A seed case for a cell; age, sex, histology and group are fixed by the run key."""
-    age = AGES[0] + F.pmod(F.xxhash64(key, F.lit("age")), F.lit(AGES[1] - AGES[0] + 1))
+    age = AGES[0] + hashed(key, F.lit("age")) % (AGES[1] - AGES[0] + 1)
     return F.format_string(
         "A %d-year-old %s %s patient with %s: %s, %s, %s.", age, choice(key, "group", GROUPS), choice(key, "sex", SEXES), choice(key, "histology", HISTOLOGIES),
         phrase(t, SIZE_TEXT), phrase(n, NODE_TEXT), phrase(m, SPREAD_TEXT),
@@ -72,7 +77,7 @@ def run_key(model: Column, layer: str, *more: Column) -> Column:
 
 def exploratory(models: DataFrame, runs: int = 5, seed: int = 42) -> DataFrame:
     rows = models.crossJoin(models.sparkSession.range(runs).withColumnRenamed("id", "idx"))
-    at = F.pmod(F.xxhash64("idx", F.lit("cell")), F.lit(32))
+    at = hashed(F.col("idx"), F.lit("cell")) % 32
     return rows.select("model", "idx", (F.col("idx") + seed).alias("seed"), run_key(F.col("model"), "exploratory", F.col("idx")).alias("run_key"), *[cell(at, s).alias(s.lower()) for s in "TNM"])
 
 
@@ -91,20 +96,53 @@ def longitudinal(models: DataFrame, runs: int = 5, seed: int = 100) -> DataFrame
     return rows.select("model", "idx", (F.col("idx") + seed).alias("seed"), F.lit(0.4).alias("temperature"), run_key(F.col("model"), "longitudinal", F.col("idx")).alias("run_key"), months.alias("months"))
 
 
-#: Prompt modes; `{case}` is the seed case.
+SYSTEM = "You write clinical notes."
+#: What is wrapped around a task by the kind of answer; `{task}` is the task.
+WRAPPERS = {
+    "json": "{task}\n\nAnswer with one JSON object with the key notes and nothing else.",
+    "text": "{task}\n\nAnswer in plain prose, without JSON.",
+    "timeline": "{task}\n\nAnswer with one JSON object with the keys seed_case, anchors and timeline: one visit for each anchor, in the order given, and the anchors as given.",
+}
+#: Prompt modes as (wrapper, task, cells of the examples); `{case}` is the seed case, `{examples}` the examples.
 MODES = {
-    "zero_shot": "Write a clinical note as JSON for this case. {case}",
-    "one_shot": "Here is one example note. Write another as JSON for this case. {case}",
-    "few_shot": "Here are some example notes. Write another as JSON for this case. {case}",
-    "terminology": "Use standard terms only. Write a clinical note as JSON for this case. {case}",
-    "bias_check": "Describe the patient without assumptions. Write a clinical note as JSON for this case. {case}",
-    "step_by_step": "Think through the staging step by step, then write the note as JSON. {case}",
+    "zero_shot": ("json", "Write a clinical note for this case. {case}", ()),
+    "one_shot": ("json", "Here is one example.\n{examples}\nWrite a note of that form for this case. {case}", (9,)),
+    "few_shot": ("json", "Here are some examples.\n{examples}\nWrite a note of that form for this case. {case}", (0, 13, 30)),
+    "terminology": ("json", "Use standard terms only. Write a clinical note for this case. {case}", ()),
+    "bias_check": ("text", "Describe the patient without assumptions. {case}", ()),
+    "step_by_step": ("json", "Think through the staging step by step before you write the note. {case}", ()),
 }
+# The anchors of a timeline, in order.
+ANCHORS = ("t0:Diagnosis/Start", "t1:First-line therapy", "t2:Restaging scan", "t3:Maintenance/Adjuvant", "t4:Surveillance/Follow-up")
+
+
+def example(idx: int) -> str:
+    """A short note for a cell of the grid, with its stage group by the rule."""
+    t, n, m = f"T{1 + idx // 8}", f"N{idx % 8 // 2}", f"M{idx % 2}"
+    group = "IV" if m == "M1" else STAGE_RULE[t][int(n[1])]
+    return f'{{"notes": [{{"staging": {{"T": "{t}", "N": "{n}", "M": "{m}", "stage_group": "{group}"}}, "free_text": "Imaging shows {SIZE_TEXT[t]} with {NODE_TEXT[n]} and {SPREAD_TEXT[m]}."}}]}}'
+
+
+def template(mode: str) -> str:
+    """The finished template of a mode, in which only the case is open."""
+    wrapper, task, cells = MODES[mode]
+    return WRAPPERS[wrapper].replace("{task}", task.replace("{examples}", "\n".join(map(example, cells))))
+
+
+def timeline_prompt(anchors: tuple[str, ...] = ANCHORS) -> str:
+    """The prompt for a timeline of an invented patient with a visit at every anchor."""
+    task = "Write the course of an invented lung cancer patient."
+    return WRAPPERS["timeline"].replace("{task}", task) + "\nAnchors:\n" + "\n".join(f"- {a}" for a in anchors)
+
+
+def timeline_prompt_of(anchors: Column) -> Column:
+    """The same for a column with lists of anchors."""
+    return F.concat(F.lit(timeline_prompt(())), F.array_join(F.transform(anchors, lambda a: F.concat(F.lit("- "), a)), "\n"))
 
 
-def sweep(designs: DataFrame, models: DataFrame, modes: dict[str, str] = MODES) -> DataFrame:
+def sweep(designs: DataFrame, models: DataFrame, modes: tuple[str, ...] = tuple(MODES)) -> DataFrame:
     """Design rows by modes by models."""
-    names = designs.sparkSession.createDataFrame(list(modes.items()), "mode string, template string")
+    names = designs.sparkSession.createDataFrame([(m, template(m)) for m in modes], "mode string, template string")
     return designs.crossJoin(F.broadcast(names)).crossJoin(F.broadcast(models))
 
 

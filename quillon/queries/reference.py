@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quillon.functions import labels as L
 from quillon.functions import payload as P
 from quillon.operators import annotate, audit, gates, metrics, prepare, split, stats, vector
 from quillon.plans import runs as plans
-from quillon.session import table
+from quillon.session import ensure_checkpoint_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,7 +171,16 @@ def salvage(spark, sf):
     return rows.select("line_no", F.col("j").isNotNull().alias("valid"), P.get(v, "$['$schema_version']").alias("schema_version"), F.when(F.col("j") != "null", F.col("j").startswith("{")).alias("is_object"))
 
 
-@query("stop_criterion")
+_SQL_STOP = r"""with t as (select line_no, raw_output, regexp_extract_all(raw_output, '(?s)[^\\"{}]*(?:\\.|["{}])') segs from master_results where raw_output like '%{%'),
+ u as (select line_no, unnest(segs) seg, generate_subscripts(segs, 1) i from t),
+ v as (select line_no, i, sum(length(seg)) over w pos, case when seg[-2:-2] = chr(92) then '' else seg[-1:] end c from u window w as (partition by line_no order by i)),
+ q as (select *, sum((c = '"')::int) over (partition by line_no order by i) % 2 quoted from v),
+ d as (select *, sum(case when quoted = 1 then 0 when c = '{' then 1 when c = '}' then -1 else 0 end) over (partition by line_no order by i) depth from q),
+ f as (select line_no, min(pos) pos from d where quoted = 0 and c = '}' and depth <= 0 group by line_no)
+ select m.line_no, case when f.pos is not null then greatest(f.pos, instr(m.raw_output, '{'))::int end stop_at from master_results m left join f using (line_no)"""
+
+
+@query("stop_criterion", _SQL_STOP)
 def _(spark, sf):
     """Length of each output up to its first balanced close, null while there is none."""
     return _runs(spark, sf).select("line_no", F.length(P.until_first_close("raw_output")).alias("stop_at"))
@@ -407,7 +418,7 @@ def chi2_uniform(spark, sf):
 @query("chi2_uniform_p")
 def _(spark, sf):
     """With p-values and the bias flag."""
-    out = chi2_uniform(spark, sf).withColumn("p", stats.chi2_p(F.col("chi2"), F.col("df").cast("double")))
+    out = chi2_uniform(spark, sf).withColumn("p", F.round(stats.chi2_p(F.col("chi2"), F.col("df").cast("double")), 6))
     return out.withColumn("biased", F.col("p") < 0.05)
 
 
@@ -430,7 +441,7 @@ def point_biserial(spark, sf):
 def _(spark, sf):
     out = point_biserial(spark, sf)
     t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return out.withColumn("p", stats.t_p(t, (F.col("n") - 2).cast("double")))
+    return out.withColumn("p", F.round(stats.t_p(t, (F.col("n") - 2).cast("double")), 6))
 
 
 @query(
@@ -709,8 +720,8 @@ def _(spark, sf):
     runs = controlled_plan(spark, sf)
     case = plans.case_text(F.col("run_key"), F.col("t"), F.col("n"), F.col("m"))
     context = plans.keyword_context(F.col("t"), F.col("n"), F.col("m"))
-    body = plans.prompt(F.lit(plans.MODES["zero_shot"]), case, context)
-    return runs.select("run_key", plans.chat(F.col("model"), F.lit("You write clinical notes."), body).alias("prompt"))
+    body = plans.prompt(F.lit(plans.template("zero_shot")), case, context)
+    return runs.select("run_key", plans.chat(F.col("model"), F.lit(plans.SYSTEM), body).alias("prompt"))
 
 
 @query(
@@ -811,7 +822,8 @@ def _(spark, sf):
  long as (select model, 't' dim, t label from x union all select model, 'n', n from x union all select model, 'm', m from x) select model, dim, label, count(*) n from long group by all""",
 )
 def _(spark, sf):
-    """The run log read as a stream: deduplicated by run key, label counts in complete mode."""
+    """The run log read as a stream: deduplicated by run key, label counts in complete mode. The state holds each run key
+    once, as a key may come again at any time; a log without end wants `dropDuplicatesWithinWatermark` on its time instead."""
     source = table(spark, sf, "master_results")
     # A streaming source wants a folder; a table kept as one file is picked out of its parent.
     single = any(f.endswith("/master_results.parquet") for f in source.inputFiles())
@@ -820,7 +832,14 @@ def _(spark, sf):
     rows = stream.where(F.col("run_id").isNotNull()).dropDuplicates(["run_id"]).select("model", P.variant(F.col("parsed_json")).alias("v"))
     long = rows.select("model", F.explode(F.array(*[F.struct(F.lit(s.lower()).alias("dim"), L.norm_a(P.first_note(F.col("v"), f"staging.{s}"), s).alias("label")) for s in "TNM"])).alias("x"))
     counts = long.select("model", "x.dim", "x.label").groupBy("model", "dim", "label").agg(F.count("*").alias("n"))
-    name = "stream_label_counts"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    # Results go to files in the shared folder, a folder per batch; the last one is the whole result (complete mode).
+    out = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        done.append(number)
+
+    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{out}/{max(done)}") if done else spark.createDataFrame([], counts.schema)

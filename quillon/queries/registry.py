@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "reference")
+MODULES = ("problems", "reference", "more")
 
 
 def _modules():

@@ -36,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's `spark.checkpoint.dir`; a temporary one only where that
-    setting is missing (single-machine tests)."""
+    """The folder for checkpoints: the cluster's `spark.checkpoint.dir`. Where that is missing, a temporary one serves a local
+    session (tests); on a cluster, whose machines share no such folder, this is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillon-checkpoints"))
     return sc.getCheckpointDir()
 

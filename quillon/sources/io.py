@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,7 +59,13 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def line_store(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, text) of a line-aligned store: numbers follow the lines of the file, blank ones keep theirs."""
-    return spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0].strip())), "line_no long, text string")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    # One row per split of a file: where its numbers begin. Ids within a split follow its lines.
+    splits = rows.groupBy("f", "b").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("f", "b", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = rows.join(F.broadcast(starts), ["f", "b"])
+    return numbered.select((F.col("start") + F.col("m") - F.col("first")).alias("line_no"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
 
 
 def checkpoint_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +90,9 @@ def append_keys(df: DataFrame, key: str, path: str) -> None:
 def export_csv(df: DataFrame, path: str, lead: list[str] | None = None) -> None:
     """One CSV file with a header; `lead` columns (group keys) come first. For reports, which are small."""
     keys = lead or []
-    df.select(*keys, *[c for c in df.columns if c not in keys]).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*keys, *[c for c in df.columns if c not in keys]).coalesce(1).write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def export_cohorts(df: DataFrame, path: str, flag) -> None:
@@ -92,16 +100,19 @@ def export_cohorts(df: DataFrame, path: str, flag) -> None:
     df.withColumn("cohort", F.when(flag, F.lit("lung")).otherwise(F.lit("cross"))).write.mode("overwrite").partitionBy("cohort").parquet(path)
 
 
-def map_model(df: DataFrame, row_id: str, prompt: str, answer) -> DataFrame:
-    """The boundary to an external model: `answer(list of prompts) -> list of texts` is run per batch on the workers; a
-    failing batch gives empty texts."""
+def map_model(df: DataFrame, row_id: str, prompt: str, answer, at_once: int = 64) -> DataFrame:
+    """The boundary to an external model: `answer(list of prompts) -> list of texts` is run on the workers, `at_once` prompts
+    at a time; where it fails, texts are empty and `error` says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                got = answer(batch["prompt"].tolist())
-            except Exception:  # noqa: BLE001
-                got = [""] * len(batch)
-            yield pd.DataFrame({"row_id": batch["row_id"], "raw_output": got})
-
-    return df.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt")).mapInPandas(run, "row_id string, raw_output string")
+            for at in range(0, len(batch), at_once):
+                part = batch.iloc[at : at + at_once]
+                error = None
+                try:
+                    got = answer(part["prompt"].tolist())
+                except Exception as e:  # noqa: BLE001
+                    got, error = [""] * len(part), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "raw_output": got, "error": pd.Series([error] * len(part), dtype=object)})
+
+    return df.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt")).mapInPandas(run, "row_id string, raw_output string, error string")

@@ -57,6 +57,18 @@ def test_salvage_column(spark):
     assert got == ['{"a": null}', None, '{"a": "é"}']
 
 
+def test_first_close_counts_escapes_everywhere_and_stray_closes(spark):
+    texts = ['} {"a":', r'say \"hi {"a": 1} x', r'\{ {"a": 1} x', '{"a": "}"', "}", None, "", r'{"a": "\"}"} x', "x} y {"]
+    assert values(spark, texts, P.until_first_close("x")) == ["} {", r'say \"hi {"a": 1}', r'\{ {"a": 1}', None, None, None, None, r'{"a": "\"}"}', "x} y {"]
+
+
+def test_salvage_counts_escapes_outside_quotes():
+    assert P.parse(r'say \"hi {"a": 1}') == (True, {"a": 1})
+    assert P.parse(r'say "hi {"a": 1}') == (False, None)
+    assert P.parse(r'\{"a": 1} {"b": 2}') == (True, {"b": 2})
+    assert P.parse('} {"a": 1}') == (True, {"a": 1})
+
+
 def test_first_close(spark):
     assert values(spark, ['a {"b": {"c": "}"}} more', "none", "{ open"], P.until_first_close("x")) == ['a {"b": {"c": "}"}}', None, None]
 

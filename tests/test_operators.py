@@ -36,6 +36,19 @@ def test_rejects_one_record(spark, line, reason):
         assert got[0]["raw_output"] == 'a, "b"\nc' and got[0]["validation_errors"] == ([] if ",[]," in line else ["e"]) and got[0]["parsed_json_valid"] in (True, False)
 
 
+def test_rejects_keep_every_character_and_name_the_error(spark):
+    good = "00000000-0000-4000-8000-000000000000,2024-01-02T03:04:05,controlled,m,p,true,[],"
+    raws = ["\ue00a\ue00d\ue000", "\"a\nb\r\nc\ue001\"", "x\x00y", ""]
+    lines = [(k, good + r) for k, r in enumerate(raws)]
+    lines += [(10, good + "a,b"), (11, "x,y"), (12, good.replace("05,", "65,")), (13, good.replace("0000-4", "000-4")), (14, good.replace("[]", "[1]")), (15, good + '"a" b'), (16, good.replace("true", "yes"))]
+    got = {r["line_id"]: r for r in rejects.load_records(spark.createDataFrame(lines, "line_id long, line string").coalesce(1)).collect()}
+    assert [got[k]["raw_output"] for k in range(4)] == ["\ue00a\ue00d\ue000", "a\nb\r\nc\ue001", "x\x00y", ""]
+    assert {k: (got[k]["reason"], got[k]["detail"]) for k in range(10, 17)} == {
+        10: ("column_count", "TOO MANY COLUMNS"), 11: ("column_count", "MISSING COLUMNS"), 12: ("bad_value", "CAST timestamp"), 13: ("bad_value", "CAST run_id"),
+        14: ("bad_value", "validation_errors"), 15: ("quoting", "grammar"), 16: ("bad_value", "parsed_json_valid"),
+    }
+
+
 def test_rejects_blank_null_empty_and_neighbours(spark):
     lines = [(1, None), (2, ""), (3, " \t\r"), (4, record(raw='"open')), (5, record()), (5, record()), (6, record(raw="x" * 3_000_000))]
     got = sorted((r["line_id"], r["reason"]) for r in rejects.load_records(spark.createDataFrame(lines, "line_id long, line string").coalesce(1)).collect())
