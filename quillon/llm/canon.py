@@ -3,7 +3,8 @@
 Values are made distinct before anything else, normalised, and scored against the list through an inverted index of
 character n-grams: the cosine of idf-weighted n-gram vectors, so that what all entries share counts little. A value is
 accepted when the best entry scores at least `threshold` and leads the next by `margin`; others are `UNMATCHED`.
-The list (checked against `limit` bytes) is sent to the workers; the values never leave them.
+A list of up to `limit` bytes is sent to the workers; a longer one is joined by shuffle, with the same entries found (the score
+of an unmatched value is then that of its best candidate near the threshold, 0 without one).
 
 Defined results: null and blank values give no row; equal values always get the same entry; ties between two
 entries are unmatched; an empty list leaves every value unmatched; extra columns are ignored.
@@ -18,10 +19,10 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import fits
+from quillon.session import cut, fits
 
 UNMATCHED = "UNMATCHED"
 
@@ -152,8 +153,8 @@ class Index:
         return self.spelt[word]
 
     def _nearest(self, word: str) -> str:
-        most = 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
-        if not most or word in ASIDE:
+        most = _most_edits(word)
+        if not most:
             return word
         shared: Counter = Counter()
         for pair in _pairs(word):
@@ -186,14 +187,99 @@ class Index:
         return ranked[0][1], ranked[0][0]
 
 
+def _by_shuffle(values: DataFrame, listed: DataFrame, forms: Callable[[str], list[str]], threshold: float, margin: float) -> DataFrame:
+    """What `Index` finds, for lists of any size: spelling and scoring as joins on deletions and n-grams. `listed` has the code
+    first. Forms are joined on their rarest n-grams only, as many as one of which an entry within `margin` of `threshold`
+    must share, so that common n-grams bring no candidates together."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r[0], f) for r in batch.itertuples(index=False) for name in r[1:] if name for f in forms(name)[:1]]
+            yield pd.DataFrame(rows, columns=["code", "text"])
+
+    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(v, k, f.split()) for v in batch["value"] for k, f in enumerate(forms(v))], columns=["value", "k", "words"])
+
+    def deletions(most: Callable[[str], int]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(w, d) for w in batch["word"] for d in _deletions(w, most(w))]
+                yield pd.DataFrame(rows, columns=["word", "left"])
+
+        return run
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, g, n) for t in batch["text"] for g, n in _grams(t).items()], columns=["text", "g", "n"])
+
+    @F.pandas_udf("int")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([edits(x, y, _most_edits(x)) - _most_edits(x) for x, y in zip(a, b)], dtype="int32")
+
+    texts = cut(listed.toDF("code", *[f"name{k}" for k in range(len(listed.columns) - 1)]).mapInPandas(entries, "code string, text string").distinct())
+    words = texts.select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    forms_of = cut(values.mapInPandas(typed, "value string, k int, words array<string>"))
+    unknown = forms_of.select(F.explode("words").alias("word")).distinct().join(words, "word", "left_anti")
+    asked = unknown.mapInPandas(deletions(_most_edits), "word string, left string")
+    held = words.where(F.length("word") >= 4).mapInPandas(deletions(lambda w: 2), "word string, left string").withColumnRenamed("word", "near")
+    pairs = asked.join(held, "left").select("word", "near").distinct().withColumn("over", apart("word", "near")).where("over <= 0")
+    spelt = pairs.groupBy("word").agg(F.min(F.struct("over", "near"))["near"].alias("near"))
+    placed = forms_of.select("value", "k", F.posexplode("words").alias("at", "word")).join(spelt, "word", "left").select("value", "k", "at", F.coalesce("near", "word").alias("word"))
+    spelled = placed.groupBy("value", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+    spelled = cut(spelled.select("value", "text").distinct())
+
+    own = texts.select("text").distinct().mapInPandas(grams, "text string, g string, n int")
+    # As in `Index`, an entry counts once for each of its texts.
+    seen = texts.mapInPandas(lambda it: (b[["text"]] for b in it), "text string").mapInPandas(grams, "text string, g string, n int").groupBy("g").agg(F.count("*").alias("df"))
+    many = texts.count()
+    rare = 1 + math.log(many + 1) if many else 1.0
+    idf = cut(seen.select("g", (1 + F.log(F.lit(float(many)) / F.col("df"))).alias("idf")))
+
+    def weighted(counts: DataFrame) -> DataFrame:
+        raw = counts.join(idf, "g", "left").select("text", "g", ((1 + F.log("n")) * F.coalesce("idf", F.lit(rare))).alias("w"))
+        return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("text"))))
+
+    entry = cut(weighted(own).select(F.col("text").alias("entry"), "g", F.col("w").alias("v")))
+    form = cut(weighted(spelled.select("text").distinct().mapInPandas(grams, "text string, g string, n int")))
+    # What the n-grams from here on could add: where it is too little, an earlier one must be shared.
+    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("text").orderBy("w", "g").rowsBetween(Window.unboundedPreceding, 0)))
+    keys = form.withColumn("rest", rest).where(F.col("rest") >= threshold - margin - 1e-9).select("text", "g")
+    near = keys.join(entry, "g").select("text", "entry").distinct()
+    scored = near.join(form, "text").join(entry, ["entry", "g"]).groupBy("text", "entry").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+    scored = scored.withColumn("score", F.when(F.col("text") == F.col("entry"), F.lit(1.0)).otherwise(F.col("score")))
+    coded = spelled.join(scored, "text").join(texts.withColumnRenamed("text", "entry"), "entry").groupBy("value", "code").agg(F.max("score").alias("score"))
+    two = F.slice(F.sort_array(F.collect_list(F.struct("score", "code")), asc=False), 1, 2)
+    best = coded.groupBy("value").agg(two.alias("two"))
+    top, second = F.col("two")[0], F.coalesce(F.get("two", F.lit(1))["score"], F.lit(-1.0))
+    sure = (top["score"] >= threshold) & (top["score"] - second >= margin)
+    return values.join(best, "value", "left").select("value", F.when(sure, top["code"]).otherwise(F.lit(UNMATCHED)).alias("ref_code"), F.coalesce(top["score"], F.lit(0.0)).alias("score"))
+
+
+def _most_edits(word: str) -> int:
+    """Edits within which a word is spelt like one of the list."""
+    return 0 if word in ASIDE else 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
+
+
+def _deletions(word: str, most: int) -> set[str]:
+    """The word without up to `most` of its letters; two words within so many edits have one of these in common."""
+    found = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
 def map_values(
     rows: DataFrame, id_col: str, value: str, entries: DataFrame, names: list[str], forms: Callable[[str], list[str]],
     code: str = "ref_code", threshold: float = 0.66, margin: float = 0.03, limit: int = 16 << 20,
 ) -> DataFrame:
     """(id, value, ref_code, score) of every value that is neither null nor blank."""
     listed = entries.select(code, *names)
+    kept = rows.select(F.col(id_col).alias("id"), F.col(value).alias("value")).where(F.col("value").rlike(r"(?U)\S"))
     if not fits(listed, limit):
-        raise ValueError(f"the reference list is over {limit} bytes; split it into lists by field or first letter")
+        mapped = _by_shuffle(cut(kept.select("value").distinct()), listed, forms, threshold, margin)
+        return kept.join(mapped, "value").select("id", "value", "ref_code", "score")
     index = Index([(r[0], list(r[1:])) for r in listed.collect()], forms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +287,6 @@ def map_values(
             got = [(v, *index.match(v, threshold, margin)) for v in batch["value"]]
             yield pd.DataFrame(got, columns=["value", "ref_code", "score"])
 
-    kept = rows.select(F.col(id_col).alias("id"), F.col(value).alias("value")).where(F.col("value").rlike(r"(?U)\S"))
     # A given number of partitions, as adaptive execution would put few but costly values into one task.
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
     mapped = kept.select("value").distinct().repartition(tasks, "value").mapInPandas(run, "value string, ref_code string, score double")

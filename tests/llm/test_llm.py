@@ -259,6 +259,24 @@ def test_stage_forms():
         assert canon.stage_forms(typed) == [want]
 
 
+@pytest.mark.parametrize("size", (400, 100_000))
+def test_long_lists_are_joined_by_shuffle(spark, size):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(4, 9)))
+    vocabulary = [word() for _ in range(size // 4)]
+    names = sorted({" ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 3))) for _ in range(size)})
+    ref = spark.createDataFrame([(f"C{k}", n) for k, n in enumerate(names)], "ref_code string, name string")
+    typed = []
+    for _ in range(120):
+        t = rng.choice(names)
+        k = rng.randrange(1, len(t) - 1)
+        typed.append(rng.choice((t, t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], " ".join(reversed(t.split())), word() + " " + word())))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*typed, None, " "])], "id long, value string")
+    got = [{r["id"]: r["ref_code"] for r in canon.map_values(df, "id", "value", ref, ["name"], lambda v: [canon.fold(v)], limit=limit).collect()} for limit in (0, 1 << 30)]
+    assert got[0] == got[1] and len(got[0]) == len(typed)
+    assert sum(c != "UNMATCHED" for c in got[0].values()) > 60
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 
 
