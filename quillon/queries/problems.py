@@ -63,7 +63,21 @@ def p3_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.relation(rows, "notes.molecular.drivers", {"gene": "gene", "result": "result", "variant": "variant"})
 
 
-QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p3_found": p3_found, "p3_drivers": p3_drivers}
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid records by plain values, for comparison."""
+    loaded = p2_loaded(spark, sf_dir)
+    return loaded.select(
+        "line_id", "run_id", F.unix_micros("timestamp").alias("stamp"), "layer", "model", "prompt_type", "parsed_json_valid",
+        F.array_join("validation_errors", "|").alias("problems"), F.md5("raw_output").alias("raw"),
+    )
+
+
+def p3_driver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drivers with their links as columns, for comparison."""
+    return p3_drivers(spark, sf_dir).select("rec_id", F.col("parent_key")[0].cast("int").alias("note"), F.col("key")[1].cast("int").alias("driver"), "gene", "result", "variant")
+
+
+QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p2_values": p2_values, "p3_found": p3_found, "p3_drivers": p3_drivers, "p3_driver_rows": p3_driver_rows}
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 _SQL_RECORDS = rf"""r as (select line_id, regexp_replace(line,'\r$','') rec from result_lines where regexp_matches(line,'\S')),
@@ -105,6 +119,9 @@ def _sql_rows(src: str, name: str, *pos: str) -> str:
 
 ORACLES: dict[str, str] = {
     "p2_found": f"with {_SQL_RECORDS} select line_id, reason from c where reason is not null",
+    "p2_values": f"""with {_SQL_RECORDS} select line_id, v[1] run_id, epoch_us(v[2]::timestamp) stamp, v[3] layer, v[4] model, v[5] prompt_type, lower(v[6]) = 'true' parsed_json_valid,
+ array_to_string(json_extract_string(v[7], '$[*]'), '|') problems, md5(v[8]) raw from c where reason is null""",
+    "p3_driver_rows": f"with {_SQL_NOTE} select rec rec_id, pos_note::int note, pos_driver::int driver, {', '.join(f"json_extract_string(o, '$.{k}') {k}" for k in ('gene', 'result', 'variant'))} from driver",
     "p3_found": f"with {_SQL_NOTE}, {_SQL_TIMELINE} "
     + " union all ".join(
         [_sql_rows("master_results", "note", "pos_note")]
