@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.words import Words, letters_and_digits
@@ -118,7 +118,8 @@ def find(
     return _joined(left, right, k, w, least)
 
 
-def _joined(left: DataFrame, right: DataFrame, k: int, w: int, least: int) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, k: int, w: int, least: int, together: int = 64) -> DataFrame:
+    """For a long list of items: fingerprints joined by shuffle (frequent ones are split by adaptive skew handling), then texts."""
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = Words(batch["text"].tolist(), letters_and_digits())
@@ -130,13 +131,15 @@ def _joined(left: DataFrame, right: DataFrame, k: int, w: int, least: int) -> Da
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for doc, item, a, b in batch.itertuples(index=False):
-                one = _Items([item], [b], k, w)
-                keep += one.pairs([doc], [a], k, w, least)
+            for doc, body, items in batch.itertuples(index=False):
+                keep += _Items([i["item_id"] for i in items], [i["text"] for i in items], k, w).pairs([doc], [body], k, w, least)
             yield pd.DataFrame(keep, columns=["doc_id", "item_id"], dtype="int64")
 
     a = left.mapInPandas(prints, "id long, h long").withColumnRenamed("id", "doc_id")
     b = right.mapInPandas(prints, "id long, h long").withColumnRenamed("id", "item_id")
     pairs = a.join(b, "h").select("doc_id", "item_id").distinct()
-    full = pairs.join(left, "doc_id").join(right.withColumnRenamed("text", "item_text"), "item_id")
-    return full.select("doc_id", "item_id", "text", "item_text").mapInPandas(check, OUT)
+    # A document meets at most `together` items at a time, so it travels once for them and no group grows with the data.
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))
+    parts = pairs.withColumn("part", F.floor((nth - 1) / together)).join(right, "item_id")
+    groups = parts.groupBy("doc_id", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    return groups.join(left, "doc_id").select("doc_id", "text", "items").mapInPandas(check, OUT)
