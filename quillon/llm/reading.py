@@ -61,11 +61,6 @@ def sentences(text: str) -> list[str]:
     return [s for s in (part.strip(" \t\r\n-*•") for part in _BREAK.split(text)) if s[-1:] in (".", "!", "?") and len(s.split()) >= 3]
 
 
-def is_english(words: list[str]) -> bool:
-    own = sum(w in ENGLISH for w in words)
-    return own > sum(w in OTHERS for w in words) and own >= 0.04 * len(words)
-
-
 def count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total, cells = np.zeros(CELLS, dtype=np.int64), {}
     for batch in batches:
@@ -81,48 +76,65 @@ def count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Features:
-    """Sentence features, with a memory of the words met."""
+    """Sentence features of many texts at a time, with a memory of the words met."""
 
     def __init__(self, counts: np.ndarray):
         self.rarity = -np.log((counts + 1.0) / (counts.sum() + CELLS))
         self.known: dict[str, int] = {}
-        self.rows: list[list[float]] = []
-        self.stack = np.zeros((0, PER_WORD + 1))
+        self.table = np.zeros((1024, PER_WORD + 3))
 
     def _row(self, word: str) -> int:
-        if word not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
-                self.rows.clear()
-            letters = len(word)
-            self.known[word] = len(self.rows)
-            self.rows.append([
-                letters, _syllables(word), letters >= 8, letters >= 11, word in CONNECTIVES, word in OPENERS, word in PERSONAL,
-                word[0].isdigit(), "-" in word, self.rarity[_cell(word)],
-            ])
-        return self.known[word]
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """(features, letters) of each sentence, or None where the text is not gradable."""
-        found = sentences(text)
-        if len(found) < LEAST:
-            return None
-        words = [_WORD.findall(s.lower()) for s in found]
-        keep = [k for k, w in enumerate(words) if len(w) >= 3]
-        if len(keep) < LEAST or not is_english([w for k in keep for w in words[k]]):
-            return None
-        rows, weight = [], []
-        for k in keep:
-            own = words[k]
-            table = np.array([self.rows[self._row(w)] for w in own], dtype=np.float64)
-            mean, n = table.mean(axis=0), len(own)
-            commas = found[k].count(",") + found[k].count(";") + found[k].count(":")
-            rows.append([
-                math.log(n), mean[0], mean[1], mean[2], mean[3], table[:, 4].sum(), table[:, 5].sum() + commas, mean[6], mean[7], mean[8],
-                mean[9], np.sort(table[:, 9])[-3:].mean(), len(set(own)) / n, table[:, 0].max(),
-            ])
-            weight.append(len(found[k]))
-        return np.array(rows), np.array(weight, dtype=np.float64)
+        at = self.known[word] = len(self.known)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        letters = len(word)
+        self.table[at] = (
+            letters, _syllables(word), letters >= 8, letters >= 11, word in CONNECTIVES, word in OPENERS, word in PERSONAL,
+            word[0].isdigit(), "-" in word, self.rarity[_cell(word)], word in ENGLISH, word in OTHERS,
+        )
+        return at
+
+    def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """(features, letters) of the sentences of each text, or None where it is not gradable."""
+        if len(self.known) > 500_000:
+            self.known = {}
+        known, ids = self.known, []
+        sizes, marks, letters, owner = [], [], [], []
+        for k, text in enumerate(texts):
+            found = sentences(text)
+            if len(found) < LEAST:
+                continue
+            words = [(s, _WORD.findall(s.lower())) for s in found]
+            words = [(s, w) for s, w in words if len(w) >= 3]
+            if len(words) < LEAST:
+                continue
+            for s, own in words:
+                ids += [known[w] if w in known else self._row(w) for w in own]
+                sizes.append(len(own))
+                marks.append(s.count(",") + s.count(";") + s.count(":"))
+                letters.append(len(s))
+                owner.append(k)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        if not ids:
+            return out
+        ids, n, owner = np.array(ids), np.array(sizes), np.array(owner)
+        end = np.cumsum(n)
+        table, sentence = self.table[ids], np.repeat(np.arange(len(n)), n)
+        sums = np.add.reduceat(table, end - n, axis=0)
+        mean = sums / n[:, None]
+        rare = table[np.lexsort((table[:, 9], sentence)), 9]
+        distinct = np.bincount(np.unique(sentence * len(self.known) + ids) // len(self.known), minlength=len(n))
+        x = np.column_stack([
+            np.log(n), mean[:, :4], sums[:, 4], sums[:, 5] + marks, mean[:, 6:10], (rare[end - 1] + rare[end - 2] + rare[end - 3]) / 3,
+            distinct / n, np.maximum.reduceat(table[:, 0], end - n),
+        ])
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        english, others, total = (np.add.reduceat(v, first) for v in (sums[:, 10], sums[:, 11], n))
+        weight = np.array(letters, dtype=np.float64)
+        for at, stop, ok in zip(first, np.r_[first[1:], len(n)], (english > others) & (english >= 0.04 * total)):
+            if ok:
+                out[owner[at]] = x[at:stop], weight[at:stop]
+        return out
 
 
 @dataclass
@@ -189,11 +201,12 @@ def fit_sentences(docs: list[tuple[np.ndarray, np.ndarray]], bands: np.ndarray,
     return model
 
 
-def band_of(model: Ordinal, x: np.ndarray, letters: np.ndarray) -> int:
-    chance = model.chances(x)
-    level = chance.argmax(axis=1)
-    held, size = np.bincount(level, minlength=BANDS), np.bincount(level, letters, minlength=BANDS)
-    return int(max(range(BANDS), key=lambda b: (held[b], size[b]))) + 1
+def bands_of(model: Ordinal, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The level of most of the sentences of each text, the longer ones and then the lower level on ties."""
+    x, letters = (np.concatenate(v) for v in zip(*docs))
+    cell = np.repeat(np.arange(len(docs)), [len(f) for f, _ in docs]) * BANDS + model.chances(x).argmax(axis=1)
+    held, size = (np.bincount(cell, w, minlength=len(docs) * BANDS).reshape(-1, BANDS) for w in (None, letters))
+    return np.where(held == held.max(axis=1, keepdims=True), size, -1.0).argmax(axis=1) + 1
 
 
 def grade(
@@ -214,7 +227,8 @@ def grade(
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Features(cells.value)
         for batch in batches:
-            got = [(b, own.of(t)) for b, t in zip(batch["band"], batch["text"])]
+            texts = batch["text"].tolist()
+            got = zip(batch["band"], (f for at in range(0, len(texts), 500) for f in own.of(texts[at : at + 500])))
             yield pd.DataFrame([(b, np.asarray(f[0], dtype=np.float64).tobytes(), np.asarray(f[1], dtype=np.float64).tobytes()) for b, f in got if f], columns=["band", "x", "letters"])
 
     sample = graded.join(rows, "doc_id").select("band", "text").mapInPandas(features, "band double, x binary, letters binary").toPandas().to_dict("records")
@@ -230,11 +244,12 @@ def grade(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Features(cells.value)
         for batch in batches:
-            out = []
-            for i, t in zip(batch["doc_id"], batch["text"]):
-                got = own.of(t) if sent.value is not None else None
-                if got is not None:
-                    out.append((i, band_of(sent.value, *got)))
-            yield pd.DataFrame(out, columns=["doc_id", "band"], dtype="int64")
+            for at in range(0, len(batch) if sent.value is not None else 0, 500):
+                part = batch.iloc[at : at + 500]
+                got = own.of(part["text"].tolist())
+                graded = [k for k, f in enumerate(got) if f]
+                if graded:
+                    bands = bands_of(sent.value, [got[k] for k in graded])
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[graded], "band": bands})
 
     return rows.mapInPandas(score, "doc_id long, band int")
