@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,15 +63,18 @@ def sentences(text: str) -> list[str]:
 
 
 def count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, cells = np.zeros(CELLS, dtype=np.int64), {}
+    total, words = np.zeros(CELLS, dtype=np.int64), Counter()
+
+    def flush() -> None:
+        np.add.at(total, [_cell(w) for w in words], list(words.values()))
+        words.clear()
+
     for batch in batches:
         for text in batch["text"]:
-            for word in _WORD.findall(text.lower()):
-                if word not in cells:
-                    if len(cells) > 1_000_000:
-                        cells.clear()
-                    cells[word] = _cell(word)
-                total[cells[word]] += 1
+            words.update(_WORD.findall(text.lower()))
+            if len(words) > 500_000:
+                flush()
+    flush()
     used = np.flatnonzero(total)
     yield pd.DataFrame({"cell": used.astype(np.int32), "n": total[used]})
 
