@@ -267,12 +267,19 @@ def core(token: str) -> tuple[int, str]:
     return start, token[start:stop]
 
 
+def wordlike(low: str) -> bool:
+    """Whether a token can be a misread word at all: mostly letters, no address or path."""
+    letters = sum(c.isalpha() for c in low)
+    return letters >= 1 and len(low) >= 2 and letters >= 0.5 * len(low) and not any(c in low for c in "@/_")
+
+
 class Speller:
     """Repairs words against word counts."""
 
-    def __init__(self, counts: dict[str, int], ratio: float = 20.0):
-        self.counts, self.ratio = counts, ratio
+    def __init__(self, counts: dict[str, int], better: dict[str, str] | None = None, ratio: float = 20.0):
+        self.counts, self.better, self.ratio = counts, better, ratio
         self.known: dict[str, str | None] = {}
+        self.tokens: dict[str, tuple[int, str | None]] = {}
 
     def _variants(self, word: str, depth: int) -> Iterator[str]:
         """The word with one to `depth` confusions undone."""
@@ -305,13 +312,26 @@ class Speller:
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[word] = self._repair(word)
+            self.known[word] = self._repair(word, False)
         return self.known[word]
 
-    def _repair(self, word: str) -> str | None:
+    def of(self, token: str) -> tuple[int, str | None]:
+        """Where the word of a token starts in it, and what it should read if it is misread."""
+        if token not in self.tokens:
+            if len(self.tokens) > 200_000:
+                self.tokens.clear()
+            lead, word = core(token)
+            fixed = self._repair(word, True) if word else None
+            if fixed is None and token[lead:] != word:  # a mark at the end may be a misread letter
+                longer = token[lead:].rstrip(".,;:?)]}\"'”’»")
+                fixed = self.repaired(longer) if longer != word and longer[-1:] in "!|" else None
+            self.tokens[token] = lead, fixed
+        return self.tokens[token]
+
+    def _repair(self, word: str, counted: bool) -> str | None:
+        """`counted`: the word is one of the texts, for which `better` says everything."""
         low = word.lower()
-        letters = sum(c.isalpha() for c in low)
-        if letters < 1 or len(low) < 2 or "@" in low or "/" in low or "_" in low or letters < 0.5 * len(low):
+        if not wordlike(low):
             return None
         if any(x in HYPHENS for x in low):
             parts = re.split(f"([{re.escape(HYPHENS)}])", word)
@@ -322,10 +342,10 @@ class Speller:
             return None
         if word.isupper() and len(word) <= 4:
             return None
-        best = self._better(low)
+        best = self.better.get(low) if counted and self.better is not None else self._better(low)
         if best is None:
             return None
-        if word.isupper() and letters > 1:
+        if word.isupper() and sum(c.isalpha() for c in low) > 1:
             return best.upper()
         return best.capitalize() if word[0].isupper() else best
 
@@ -363,21 +383,17 @@ def findings(text: str, labels: list[int], speller: Speller) -> list[tuple[str,
         for n, (start, token) in enumerate(tokens):
             if start in skip:
                 continue
-            lead, word = core(token)
+            lead, fixed = speller.of(token)
             if n == len(tokens) - 1 and token[-1] in HYPHENS and len(token) > 1 and k + 1 < len(kept):
                 follow = _TOKEN.search(kept[k + 1][1])
                 if follow:
                     shift, second = core(follow.group())
                     first = token[lead:-1]
-                    fixed = speller.joined(first, second) if shift == 0 else None
-                    if fixed:
-                        out.append(("hyphenation", start + lead, fixed))
+                    whole = speller.joined(first, second) if shift == 0 else None
+                    if whole:
+                        out.append(("hyphenation", start + lead, whole))
                         skip.add(kept[k + 1][0] + follow.start())
                         continue
-            fixed = speller.repaired(word) if word else None
-            if fixed is None and token[lead:] != word:  # a mark at the end may be a misread letter
-                longer = token[lead:].rstrip(".,;:?)]}\"'”’»")
-                fixed = speller.repaired(longer) if longer != word and longer[-1:] in "!|" else None
             if fixed:
                 out.append(("misread", start + lead, fixed))
     return out
@@ -418,18 +434,26 @@ class Corpus:
         spark = rows.sparkSession
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words: Counter = Counter()
+            tokens: Counter = Counter()
             cells: Counter = Counter()
             n = 0
+
+            def words() -> pd.DataFrame:
+                held: Counter = Counter()
+                for token, many in tokens.items():
+                    if (w := core(token)[1]) and w[-1] not in HYPHENS:
+                        held[w] += many
+                tokens.clear()
+                return pd.DataFrame({"word": list(held), "n": list(held.values())})
+
             for batch in batches:
                 for text in batch["text"]:
                     n += 1
                     cells.update({_cell(key) for _, line in lines_of(text) if (key := line_key(line))})
-                    words.update(w for token in text.lower().split() if (w := core(token)[1]) and not w[-1] in HYPHENS)
-                if len(words) > 500_000:
-                    yield pd.DataFrame({"word": list(words), "n": list(words.values())})
-                    words.clear()
-            yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+                    tokens.update(text.lower().split())
+                if len(tokens) > 500_000:
+                    yield words()
+            yield words()
             # A line cell is written as a word that no text holds: a space and its number.
             yield pd.DataFrame({"word": [f" {c}" for c in cells] + [" n"], "n": [*cells.values(), n]})
 
@@ -442,9 +466,25 @@ class Corpus:
         held = got[line & (got["word"] != " n")]
         self.cells = np.zeros(CELLS, dtype=np.int8)
         self.cells[held["word"].astype(np.int64).to_numpy()] = [commonness(n, texts) for n in held["n"]]
+        self.better = self._better(counted, spark.sparkContext.broadcast(self.counts))
         cells = spark.sparkContext.broadcast(self.cells)
         self.model = refine(rows, lambda: lambda key: often(cells.value, key))
-        self.sent = spark.sparkContext.broadcast((self.counts, self.cells, self.model))
+        self.sent = spark.sparkContext.broadcast((self.counts, self.better, self.cells, self.model))
+
+    @staticmethod
+    def _better(counted: DataFrame, counts) -> dict[str, str]:
+        """What misread words should read: every word of the texts is looked at once, on the workers."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            speller = Speller(counts.value)
+            for batch in batches:
+                rows = [(w, b) for w in batch["word"] if wordlike(w) and not any(c in HYPHENS for c in w) and (b := speller._better(w))]
+                yield pd.DataFrame(rows, columns=["word", "better"], dtype=object)
+
+        words = counted.select("word").where(~F.col("word").startswith(" "))
+        tasks = 2 * counted.sparkSession.sparkContext.defaultParallelism
+        got = words.repartition(tasks, "word").mapInPandas(run, "word string, better string").toPandas()
+        return dict(zip(got["word"], got["better"]))
 
     def often(self, key: str) -> int:
         return often(self.cells, key)
@@ -474,8 +514,8 @@ def find(df: DataFrame, row_id: str, text: str) -> DataFrame:
     sent = Corpus(rows).sent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, cells, model = sent.value
-        speller = Speller(counts)
+        counts, better, cells, model = sent.value
+        speller = Speller(counts, better)
         for batch in batches:
             texts = batch["text"].tolist()
             got = [(i, *f) for i, t, own in zip(batch["row_id"], texts, _labelled(texts, cells, model)) for f in findings(t, own, speller)]
@@ -490,8 +530,8 @@ def repaired(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts, cells, model = sent.value
-        speller = Speller(counts)
+        counts, better, cells, model = sent.value
+        speller = Speller(counts, better)
         for batch in batches:
             labels = iter(_labelled([t for t in batch if t and t.strip()], cells, model))
             yield batch.map(lambda t: repair(t, next(labels), speller) if t and t.strip() else t)
