@@ -1,3 +1,4 @@
+import random
 import json
 import math
 
@@ -213,3 +214,25 @@ def test_designs(spark):
     assert len({tuple(r)[1:] for r in full}) == 32 and tuple(full[0]) == (0, 128, 0.3, 0.8, 10, True) and tuple(full[1]) == (1, 128, 0.3, 0.8, 10, False) and tuple(full[31]) == (31, 512, 1.0, 1.0, 100, False)
     one = plans.one_factor_at_a_time(spark).orderBy("idx").collect()
     assert len(one) == 10 and tuple(one[3])[1:] == (256, 1.0, 0.95, 50, True) and tuple(one[9])[1:] == (256, 0.7, 0.95, 50, False)
+
+
+def test_annotate_in_parts_equals_annotate_at_once(spark):
+    rng = random.Random(3)
+    words = ["ab", "cd ef", "ef", "abc", "x1", "cd", "12", "ß a", "longer term here", "term"]
+    lexicon = spark.createDataFrame([(f"c{k % 7}", w.upper(), f" {w} ") for k, w in enumerate(words)] + [("c9", "AB", "ab")], "concept_id string, label string, term string")
+    texts = [" ".join(rng.choice([*words, "zz", "Cd", "ABC,", "e"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, " "])] + [(None, "ab")], "id long, text string")
+    once, parts = (sorted(map(tuple, annotate.annotate(df, "id", "text", lexicon, limit=n, block=7).collect())) for n in (64 << 20, 100))
+    assert once == parts and len(once) > 100
+
+
+def test_bootstrap_interval_of_many_rows_takes_few_steps(spark):
+    got = spark.range(1).select(stats.bootstrap_ci(F.lit(6e8), F.lit(1e9)).alias("x")).first()["x"]
+    half = 1.959964 * (0.24 / 1e9) ** 0.5
+    assert abs(got["low"] - (0.6 - half)) < 1e-8 and abs(got["high"] - (0.6 + half)) < 1e-8
+
+
+def test_density_by_a_flag_that_may_be_null_or_missing(spark):
+    df = spark.createDataFrame([(True, 1.0), (None, 2.0), (False, 4.0)], "rag_used boolean, d double")
+    assert sorted(map(tuple, audit.density_by(df, "rag_used", "d").collect())) == [(False, 3.0, 3.0, 2), (True, 1.0, 1.0, 1)]
+    assert audit.density_by(df, "rag_grounded", "d").count() == 0
