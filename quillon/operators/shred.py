@@ -1,7 +1,7 @@
 """Nested JSON records to related flat tables by shared inlining.
 
 1. `schema_graph` reads every record once and returns the graph of object paths: how often each occurs, whether
-   it repeats under one parent, which keys it has. Arrays add no level of their own.
+   it repeats under one parent, and a signature of its keys. Arrays add no level of their own.
 2. `plan_relations` decides on the driver, from the graph alone (bounded by `max_paths`), which paths become
    tables: the root, everything repeated, everything shared by several parents (same key, same child keys) and
    everything recursive. All other descendants are inlined into their nearest table.
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 SEP = "\x1f"
 
 
@@ -58,6 +60,14 @@ def _fold(path: tuple[str, ...], key: str) -> tuple[str, ...]:
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial graph of one task: path, parent, occurrences, arrays, most objects under one parent, leaf keys."""
     seen: dict[tuple, list] = {}
+    keys = 0
+
+    def frame() -> pd.DataFrame:
+        nonlocal keys
+        keys = 0
+        rows = [(SEP.join(p), SEP.join(q), e[0], e[1], e[2], e[3], sorted(e[4])) for (p, q), e in seen.items()]
+        seen.clear()
+        return pd.DataFrame(rows, columns=["path", "parent", "n", "arrays", "most", "recursive", "keys"]).astype({"keys": object})
 
     def note(parent, path, count, listed, recursive):
         entry = seen.setdefault((path, parent), [0, 0, 0, 0, set()])
@@ -79,7 +89,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for key, raw in node.items():
                     value = decode(raw)
                     if not isinstance(value, (dict, list)):
-                        seen[(path, path[:-1])][4].add(key) if (path, path[:-1]) in seen else None
+                        if (path, path[:-1]) in seen:
+                            seen[path, path[:-1]][4].add(key)
+                            keys += 1
                         continue
                     below = _fold(path, key)
                     listed = isinstance(value, list)
@@ -88,25 +100,22 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         continue
                     note(path, below, len(objects), int(listed), int(len(below) <= len(path)))
                     stack.extend((x, below) for x in objects)
-    yield pd.DataFrame(
-        [(SEP.join(p), SEP.join(q), e[0], e[1], e[2], e[3], sorted(e[4])) for (p, q), e in seen.items()],
-        columns=["path", "parent", "n", "arrays", "most", "recursive", "keys"],
-    ).astype({"keys": object})
+            if len(seen) > 100_000 or keys > 1_000_000:
+                yield frame()
+    yield frame()
 
 
 def schema_graph(df: DataFrame, doc: Column | str) -> DataFrame:
     """One row per (path, parent path) over all records; partial graphs are made on the workers, so the shuffle
     carries paths, not records."""
-    scanned = df.select(F.col(doc) if isinstance(doc, str) else doc).toDF("doc").mapInPandas(
+    scanned = cut(df.select(F.col(doc) if isinstance(doc, str) else doc).toDF("doc").mapInPandas(
         _scan, "path string, parent string, n long, arrays long, most long, recursive long, keys array<string>"
-    )
-    return scanned.groupBy("path", "parent").agg(
-        F.sum("n").alias("n"),
-        F.sum("arrays").alias("arrays"),
-        F.max("most").alias("most"),
-        F.sum("recursive").alias("recursive"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))).alias("keys"),
-    )
+    ))
+    # The keys of a path are compared as a whole, so their number and the sum of their hashes do; no list of them is made.
+    distinct = scanned.select("path", F.explode("keys").alias("key")).distinct()
+    signed = distinct.groupBy("path").agg(F.concat_ws(":", F.count("*"), F.sum(F.xxhash64("key").cast("decimal(38,0)"))).alias("keys"))
+    paths = scanned.groupBy("path", "parent").agg(*[F.sum(c).alias(c) for c in ("n", "arrays")], F.max("most").alias("most"), F.sum("recursive").alias("recursive"))
+    return paths.join(signed, "path", "left")
 
 
 @dataclass
@@ -129,18 +138,17 @@ def plan_relations(graph: DataFrame, repeated: tuple[str, ...] = (), root: str =
     for r in rows:
         if r["path"]:
             path = tuple(r["path"].split(SEP))
-            got = kinds.setdefault(path, [False, set()])
+            got = kinds.setdefault(path, [False, r["keys"]])
             got[0] |= r["arrays"] > 0 or r["most"] > 1 or r["recursive"] > 0
-            got[1] |= set(r["keys"])
     for dotted in repeated:
         path = tuple(dotted.split("."))
         for k in range(1, len(path)):
-            kinds.setdefault(path[:k], [False, set()])
-        kinds.setdefault(path, [False, set()])[0] = True
+            kinds.setdefault(path[:k], [False, None])
+        kinds.setdefault(path, [False, None])[0] = True
     alike: dict[tuple, list] = {}
     for path, (_, keys) in kinds.items():
         if keys:
-            alike.setdefault((path[-1], frozenset(keys)), []).append(path)
+            alike.setdefault((path[-1], keys), []).append(path)
     shared = {path for paths in alike.values() if len(paths) > 1 for path in paths}
     for path in sorted(kinds):
         if kinds[path][0] or path in shared:
