@@ -316,6 +316,8 @@ def test_encode_rows(spark):
     want = [[] if not t else encode.encode_batch([t], PATH)[0] for t in texts]
     assert len(got) == len(texts) and {r.doc_id: list(r.ids) for r in got} == {i if i < 6 else None: w for i, w in enumerate(want)}
     assert 50256 not in want[3]
+    twice = encode.encode(df.where("doc_id in (4, 5)").unionByName(df.where("doc_id = 5")), limit=2000).collect()
+    assert sorted((r.doc_id, len(r.ids)) for r in twice) == sorted((k, len(want[k])) for k in (4, 5, 5))
 
 
 # --- 9 --------------------------------------------------------------------------------------------------------------
