@@ -123,33 +123,33 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            cut = [(row, i, k, t, ok) for row, i, x in rows for k, (t, ok) in enumerate(pieces(x, limit))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("row", "doc_id", "k", "text", "exact"), c)) for c in cut], pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("text", pa.string()), ("exact", pa.bool_())]))
+            rows = zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "n", "text")])
+            cut = [(row, i, n, k, t, ok) for row, i, n, x in rows for k, (t, ok) in enumerate(pieces(x, limit))]
+            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("text", pa.string()), ("exact", pa.bool_())])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, c)) for c in cut], schema)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _lists(encode_batch(batch.column("text").to_pylist(), path))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "k", "exact")], ids], ["row", "doc_id", "k", "exact", "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "n", "k", "exact")], ids], ["row", "doc_id", "n", "k", "exact", "ids"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [concatenate([(p["ids"], p["exact"]) for p in row], path) for row in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(done), batch.column("row")], ["doc_id", "ids", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(done), batch.column("n")], ["doc_id", "ids", "n"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= limit).mapInArrow(whole, OUT)
     # Equal rows travel once; the name of a row is made of what it holds, so that a task run again gives the same one.
     held = rows.where(F.length("text") > limit).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
     long = (
-        held.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-        .mapInArrow(split, "row long, doc_id long, k int, text string, exact boolean")
+        held.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "n", "text")
+        .mapInArrow(split, "row long, doc_id long, n long, k int, text string, exact boolean")
         .repartition("row", "k")
-        .mapInArrow(parts, "row long, doc_id long, k int, exact boolean, ids array<int>")
-        .groupBy("row", "doc_id")
+        .mapInArrow(parts, "row long, doc_id long, n long, k int, exact boolean, ids array<int>")
+        .groupBy("row", "doc_id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("k", "exact", "ids"))).alias("parts"))
-        .mapInArrow(merged, OUT + ", row long")
+        .mapInArrow(merged, OUT + ", n long")
     )
-    often = held.where("n > 1").select(F.xxhash64("doc_id", "text").alias("row"), "n")
-    again = F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)))).alias("copy")
-    return short.unionByName(long.join(often, "row", "left").select("doc_id", "ids", again).drop("copy"))
+    again = F.explode(F.sequence(F.lit(1), "n")).alias("copy")
+    return short.unionByName(long.select("doc_id", "ids", again).drop("copy"))
