@@ -106,13 +106,14 @@ def map_model(df: DataFrame, row_id: str, prompt: str, answer, at_once: int = 64
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), at_once):
-                part = batch.iloc[at : at + at_once]
-                error = None
+            prompts, texts, errors = batch["prompt"].tolist(), [], []
+            for at in range(0, len(prompts), at_once):
+                part, error = prompts[at : at + at_once], None
                 try:
-                    got = answer(part["prompt"].tolist())
+                    texts += answer(part)
                 except Exception as e:  # noqa: BLE001
-                    got, error = [""] * len(part), f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "raw_output": got, "error": pd.Series([error] * len(part), dtype=object)})
+                    texts, error = [*texts, *[""] * len(part)], f"{type(e).__name__}: {e}"
+                errors += [error] * len(part)
+            yield pd.DataFrame({"row_id": batch["row_id"], "raw_output": texts, "error": pd.Series(errors, dtype=object, index=batch.index)})
 
     return df.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt")).mapInPandas(run, "row_id string, raw_output string, error string")
