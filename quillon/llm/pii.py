@@ -4,7 +4,8 @@ Texts are cut into overlapping windows that are run in large batches through bot
 overlapping windows are weighted by their distance from the window's edge and summed, and one Viterbi pass over the
 whole text reconciles them. Exact checks follow: spans are brought to word limits, titles and labels are taken off,
 and a span must have what its kind needs (digits, an @ or its written form, capitals). A number right behind the name of the
-other kind of number (a phone behind MRN, an identity number behind Tel.) is of that kind.
+other kind of number (a phone behind MRN, an identity number behind Tel.) is of that kind;
+a person's name at the head of an address is taken off it.
 
 The weights are made by `pii_train` from generated, labelled text and stand beside this module.
 
@@ -201,6 +202,9 @@ _LABEL = re.compile(
 #: What stands before a number and says which of two like kinds it is.
 _SAYS_PHONE = re.compile(r"\b(?:tel|telephone|phone|mobile|cell|fax|call|ring|dial|pager|bleep|text|hotline|switchboard|landline|line)\b[.:]?(?:\s*(?:no\b\.?|number|on|at|is))?[\s:(#-]*\Z", re.I)
 _SAYS_ID = re.compile(r"\b(?:mrn|ssn|nhs|passport|insurance|member|policy|record|chart|licen[sc]e|permit|patient id|hospital)\b[.:]?(?:\s*(?:no\b\.?|number|id|card|is))*[\s:(#-]*\Z", re.I)
+#: Words in capitals up to a comma, with a number before the next one: a person before an address.
+_PERSON_FIRST = re.compile(r"((?:[^\W\d_][\w.'’-]*\s+){1,3}[^\W\d_][\w'’-]+),\s*(?=[^,]{0,60}\d)")
+_UNIT = re.compile(r"(?:flat|unit|apt|apartment|suite|room|floor|house|the|old|new|upper|lower|[^,]*\b(?:street|road|lane|avenue|house|cottage|farm|court|lodge|hall|villa|building))\b", re.I)
 _AT = re.compile(r"@|\(at\)|\[at\]|\sat\s", re.I)
 
 
@@ -236,6 +240,10 @@ def checked(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int
             name = "phone"
         elif name == "phone" and _SAYS_ID.search(before):
             name = "id_number"
+        if name == "address" and (m := _PERSON_FIRST.match(text, start, end)) and not _UNIT.match(m[1]):
+            at = t.end() if (t := _TITLE.match(text, start, m.end(1))) else start
+            out.append((at, m.end(1), "name"))
+            start = m.end()
         held = text[start:end]
         digits = sum(c.isdigit() for c in held)
         fits = {

@@ -204,6 +204,18 @@ def test_generator_has_no_wording_of_the_table():
     assert not [n for n in [*pii_train.FIRST, *pii_train.LAST] if re.search(rf"\b{n}\b", flat)]
 
 
+def test_spans_are_held_against_what_stands_around_them():
+    def spans(text, *marked):
+        return [(text[a:b], kind) for a, b, kind in pii.checked(text, [(text.index(x), text.index(x) + len(x), pii.KINDS.index(k)) for x, k in marked])]
+
+    both = "Sister Dr. Mira Tallow, Bachweg 12, 01234 Arnum"
+    assert spans("See " + both + ".", (both, "address")) == [("Mira Tallow", "name"), ("Bachweg 12, 01234 Arnum", "address")]
+    for whole in ("12 Mill Lane, Arnum", "Flat 3, 12 Mill Lane", "Rose Cottage, 12 Mill Lane", "Bachweg 12, 01234 Arnum"):
+        assert spans(f"at {whole} now", (whole, "address")) == [(whole, "address")]
+    assert spans("Tel. no. 6105550170", ("6105550170", "id_number")) == [("6105550170", "phone")]
+    assert spans("MRN: 6105550170", ("6105550170", "phone")) == [("6105550170", "id_number")]
+
+
 def test_pii_edges_and_placeholders(spark):
     text = "Patient Maria Lopez was seen in clinic. Tel. (212) 555-0134 for the addendum. Reply by m.lopez@example.org or in person. Masson and Ziehl stains are negative."
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " "), (None, text), (5, text)], "id long, text string")
