@@ -142,6 +142,35 @@ def test_near_finds_every_pair_of_a_hot_group(spark):
         assert got == {p for p in want if texts[p[0]] != texts[p[1]]}
 
 
+def shuffled(spark):
+    """Bytes written to shuffle files so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    workers = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(workers.apply(k).totalShuffleWrite() for k in range(workers.size()))
+
+
+@pytest.mark.parametrize("spread", (False, True))
+def test_near_join_of_many_texts_takes_few_bytes_a_row(spark, monkeypatch, spread):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(3000)}" for _ in range(100)]
+    # Every text holds half of the base, a few are alike, and each comes twice, in different partitions.
+    texts = sorted({" ".join(base[:50] + [f"w{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(500)})
+    texts += [" ".join(edited(rng, texts[k].split(), 5)) for k in range(20)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "k int, text string").repartition(4, "k").selectExpr("0 grp", "text")
+    name = {r.text: r.node for r in near.Search(df).rows.collect()}
+    sets = [shingles(t) for t in texts]
+    want = {tuple(sorted((name[texts[a]], name[texts[b]]))) for a in range(len(texts)) for b in range(a) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    if spread:  # as where the checkpoint folder is no path of the machine
+        monkeypatch.setattr(near, "urlparse", lambda _: type("Where", (), {"scheme": "hdfs", "path": ""}))
+    before = shuffled(spark)
+    search = near.Search(df, most_parities=0, block=1)
+    pairs = search.candidates()
+    pairs.collect()
+    rows = 2 * sum(len(s) // 2 + 1 for s in sets)
+    assert shuffled(spark) - before < 48 * rows
+    assert {(r.a, r.b) for r in search.verified(pairs).collect()} == want and len(want) >= 20
+
+
 @pytest.mark.parametrize("share", (1.0, 0.6, 0.4, 0.1))
 def test_near_finds_every_pair_of_a_family_of_any_share(spark, share):
     rng = random.Random(7)
